@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomstrata.llm import canonical
+from bomstrata.llm import canonical, leaks, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +27,25 @@ def p2_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.misses(_mapped(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_misses)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).report.where("falls_short").select("source")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).report
+
+
+def p9_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_blocks(_mix(spark, sf_dir)).select("shard", "source", "k", "epoch", "block", F.size("pieces").alias("n_pieces"), F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_tokens"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_misses, p8_found, p9_found, p9_shares, p9_blocks)}
 ORACLE: dict[str, str] = {}
