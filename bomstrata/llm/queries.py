@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomstrata.llm import canonical, leaks, mixing
+from bomstrata.llm import canonical, encodings, leaks, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,5 +47,10 @@ def p9_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_blocks(_mix(spark, sf_dir)).select("shard", "source", "k", "epoch", "block", F.size("pieces").alias("n_pieces"), F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_misses, p8_found, p9_found, p9_shares, p9_blocks)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encodings.restore_text(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.when(F.col("lost"), "").otherwise(F.md5(F.encode("restored", "UTF-8"))).alias("restored_md5"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_misses, p8_found, p9_found, p9_shares, p9_blocks, p10_found)}
 ORACLE: dict[str, str] = {}
