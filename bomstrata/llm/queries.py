@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomstrata.llm import canonical, encodings, leaks, mixing
+from bomstrata.llm import canonical, encodings, leaks, mixing, names
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def p2_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.misses(_mapped(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.same_party(table(spark, sf_dir, "spdx_package"), ["supplier", "originator"])
+
+
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.party_classes(table(spark, sf_dir, "spdx_package"), ["supplier", "originator"])
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
@@ -52,5 +60,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.when(F.col("lost"), "").otherwise(F.md5(F.encode("restored", "UTF-8"))).alias("restored_md5"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_misses, p8_found, p9_found, p9_shares, p9_blocks, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_misses, p6_found, p6_classes, p8_found, p9_found, p9_shares, p9_blocks, p10_found)}
 ORACLE: dict[str, str] = {}
