@@ -177,7 +177,6 @@ def hierarchies(deps: DataFrame, components: DataFrame, local_rows: int = 3000)
     Repeated rows, elements and edges count once. Documents without nodes, and empty tables, give no rows.
     Only the named columns are read.
     """
-    spark = deps.sparkSession
     known = components.where(F.col("bom_ref").isNotNull() & F.col("sbom_id").isNotNull()).select("sbom_id", F.col("bom_ref").alias("known"))
     raw = deps.where(F.col("sbom_id").isNotNull())
     sizes = known.select("sbom_id", F.lit(1).alias("n")).unionByName(raw.select("sbom_id", (F.greatest(F.size("depends_on"), F.lit(0)) + 1).alias("n")))
@@ -192,5 +191,4 @@ def hierarchies(deps: DataFrame, components: DataFrame, local_rows: int = 3000)
     out = rows.repartition("sbom_id").sortWithinPartitions("sbom_id").mapInArrow(_local, _OUT)
     if some_big:
         out = out.unionByName(_distributed(known.join(big, "sbom_id", "left_semi"), links.join(big, "sbom_id", "left_semi")))
-    del spark
     return out
