@@ -266,7 +266,7 @@ def _entities(text: str) -> str:
 _BATCH = 2000
 
 
-def _count(model, passes_text: bool):
+def _count(model):
     """Map that counts pairs, letters and kinds of swap over (deciphered) texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +296,7 @@ def learn(docs: DataFrame) -> tuple[Language, np.ndarray]:
     weights = np.full((SOURCES, _KINDS), _PRIOR)
     model = None
     for _ in range(PASSES):
-        sums = docs.mapInArrow(_count(model, True), "what int, slot long, n long").groupBy("what", "slot").agg(F.sum("n").alias("n"))
+        sums = docs.mapInArrow(_count(model), "what int, slot long, n long").groupBy("what", "slot").agg(F.sum("n").alias("n"))
         t = sums.toArrow()  # at most PAIRS + 65536 + SOURCES * kinds rows
         what, slot, n = (t[x].to_numpy() for x in ("what", "slot", "n"))
         pairs, single, kinds = np.zeros(PAIRS, np.float64), np.zeros(1 << 16, np.float64), np.zeros(SOURCES * (_KINDS + 1))
