@@ -187,7 +187,7 @@ def src_detect_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(F.col("k.error").isNotNull()).select("raw_id", "k.error")
 
 
-@_query("SELECT raw_id AS doc_id, CAST(json_array_length(payload, '$.components') AS BIGINT) AS n FROM raw_sbom WHERE json_valid(payload) AND json_type(payload) = 'OBJECT' AND media LIKE 'cyclonedx%' AND json_type(payload, '$.components') = 'ARRAY' AND json_array_length(payload, '$.components') > 0")
+@_query("WITH j AS (SELECT raw_id, CASE WHEN json_valid(payload) THEN payload END AS p FROM raw_sbom WHERE media LIKE 'cyclonedx%') SELECT raw_id AS doc_id, count(*) AS n FROM j, json_each(CASE WHEN json_type(p, '$.components') = 'ARRAY' THEN p END, '$.components') e WHERE e.type = 'OBJECT' GROUP BY 1")
 def src_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = binding.raw_corpus(spark, sf_dir)
     return c.components.join(c.documents.where("sbom_format = 'cyclonedx'").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
