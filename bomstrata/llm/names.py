@@ -5,8 +5,8 @@
 2. Tokens that one typing slip may separate are found by a prefix-filtered join: q-grams are ordered by rarity,
    and of each token only the ``PREFIX`` rarest enter the join; one slip touches at most four q-grams, so two such
    tokens share one of them (tokens of up to five letters meet on their one-letter deletions instead).
-3. Names that share a rare token, or one slip of it, are candidates. Tokens of many names are no seeds by
-   themselves; a name that has only such tokens meets names with the same set of tokens.
+3. Candidates are all pairs in which the heaviest token of each name, or one slip of it, occurs in the other, and
+   names of the same letters. No token is too frequent to count.
 4. Candidates are verified by soft weighted token similarity: tokens match if equal, one slip apart, nickname,
    abbreviation or initial; rare tokens count more, and the rarest of each name has to match; what is left over on
    both sides is a contradiction. A pair that says the same in full is a strong link; a name that says less than
@@ -201,7 +201,37 @@ def _near_tokens(words: DataFrame) -> DataFrame:
     return a.join(b, "gram").where(close).select("a", "b").distinct().where((d <= 1) | ((d == 2) & same_letters))
 
 
-def link_names(names: DataFrame, least: float = 0.6, seed_names: int = 200) -> DataFrame:
+def _kin_tokens(words: DataFrame) -> DataFrame:
+    """``token, key``: each token with itself and all tokens that ``alike`` can take for the same word (0.95 or more, nicknames aside)."""
+    near = _near_tokens(words)
+    plain = F.expr("replace(replace(replace(token, 'ae', 'a'), 'oe', 'o'), 'ue', 'u')")
+    p = words.select("token", plain.alias("plain"))
+    near = near.unionByName(p.select(F.col("token").alias("a"), "plain").join(p.select(F.col("token").alias("b"), "plain"), "plain").where("a < b").select("a", "b"))
+    longer = words.where(F.col("token").rlike("^.+[au]nd$")).select(F.expr("left(token, length(token) - 3)").alias("a"), F.col("token").alias("b"))
+    near = near.unionByName(longer.join(words.select(F.col("token").alias("a")), "a", "left_semi"))
+    both = near.select(F.col("a").alias("token"), F.col("b").alias("key")).unionByName(near.select(F.col("b").alias("token"), F.col("a").alias("key")))
+    return both.unionByName(words.select("token", F.col("token").alias("key"))).distinct()
+
+
+def candidates(info: DataFrame) -> DataFrame:
+    """``name_a, name_b``, ``name_a < name_b``: every pair that ``relation`` can accept (``info``: name, tokens, weights).
+
+    It accepts equal letters, or pairs in which the heaviest token of each name meets a token of the other. So a name
+    is looked up by pairs (its heaviest token, any of its tokens) among the pairs (any token, heaviest token) of the
+    others. Frequent tokens take part like others: a common word alone brings nothing together.
+    """
+    words = cut(info.select("name", F.explode(F.arrays_zip("tokens", "weights")).alias("t"), F.expr("array_max(transform(filter(arrays_zip(tokens, weights), t -> length(t.tokens) > 2), t -> t.weights))").alias("top")).select("name", F.col("t.tokens").alias("token"), (F.col("t.weights") >= F.coalesce("top", F.lit(9e9))).alias("heavy")).distinct())
+    kin = cut(_kin_tokens(words.select("token").distinct()))
+    heavy = words.where("heavy")
+    wide = words.join(kin, "token").select("name", "key", "heavy")
+    left = wide.where("heavy").select("name", F.col("key").alias("k")).join(wide.select("name", F.col("key").alias("s")), "name").select(F.col("name").alias("name_a"), "k", "s").distinct()
+    right = words.select("name", F.col("token").alias("k")).join(heavy.select("name", F.col("token").alias("s")), "name").select(F.col("name").alias("name_b"), "k", "s")
+    pairs = left.join(right, ["k", "s"]).where("name_a < name_b").select("name_a", "name_b")
+    whole = info.select("name", F.array_join("tokens", "").alias("k"))
+    return pairs.unionByName(whole.withColumnRenamed("name", "name_a").join(whole.withColumnRenamed("name", "name_b"), "k").where("name_a < name_b").select("name_a", "name_b")).distinct()
+
+
+def link_names(names: DataFrame, least: float = 0.6, common_names: int = 200) -> DataFrame:
     """``name_a, name_b, kind``: pairs of distinct names (``names``: name) that the similarity verifies.
 
     Pairs are between similar texts, not yet closed over classes. Null and empty names give nothing; a single name
@@ -213,38 +243,34 @@ def link_names(names: DataFrame, least: float = 0.6, seed_names: int = 200) -> D
     if n < 2:
         return spark.createDataFrame([], "name_a string, name_b string, kind int")
     words = base.select("name", F.explode(F.array_distinct("tokens")).alias("token"))
-    df = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    most = min(seed_names, max(12, int(n**0.4)))
-    seeds = df.where((F.col("df") <= most) & (F.length("token") >= 3)).select("token")
-    near = _near_tokens(df.select("token"))
-    also = near.select(F.col("a").alias("token"), F.col("b").alias("key")).unionByName(near.select(F.col("b").alias("token"), F.col("a").alias("key")))
-    also = also.join(seeds, "token", "left_semi").unionByName(seeds.select("token", F.col("token").alias("key"))).join(seeds.withColumnRenamed("token", "key"), "key", "left_semi")
-    own = words.join(seeds, "token", "left_semi")
-    bare = base.join(own.select("name").distinct(), "name", "left_anti").select("name", F.concat(F.lit("="), F.array_join(F.array_sort("tokens"), " ")).alias("key"))
-    whole = base.select("name", F.concat(F.lit("+"), F.array_join("tokens", "")).alias("key"))
-    left = own.select("name", F.col("token").alias("key")).unionByName(bare).unionByName(whole)
-    right = own.join(also, "token").select("name", "key").unionByName(bare).unionByName(whole)
-    pairs = left.withColumnRenamed("name", "name_a").join(right.withColumnRenamed("name", "name_b"), "key").where("name_a < name_b").select("name_a", "name_b").distinct()
-    pairs = pairs.unionByName(left.withColumnRenamed("name", "name_b").join(right.withColumnRenamed("name", "name_a"), "key").where("name_a < name_b").select("name_a", "name_b")).distinct()
-    weighted = words.join(df, "token").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("token", "df"))).alias("dfs"))  # tokens of one name
-    info = base.join(weighted, "name").select("name", "tokens", F.transform("tokens", lambda t: F.try_element_at("dfs", t)).alias("df"))
-    rich = pairs.join(info.select(F.col("name").alias("name_a"), F.col("tokens").alias("ta"), F.col("df").alias("da")), "name_a").join(info.select(F.col("name").alias("name_b"), F.col("tokens").alias("tb"), F.col("df").alias("db")), "name_b")
+    df = cut(words.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
     total = math.log(n + 1)
-    common = [r["token"] for r in df.where(F.col("df") > most).orderBy(F.desc("df"), "token").limit(COMMON).collect()]
+    often = min(common_names, max(12, int(n**0.4)))
+    common = [r["token"] for r in df.where(F.col("df") > often).orderBy(F.desc("df"), "token").limit(COMMON).collect()]
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @functools.lru_cache(maxsize=200_000)
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def weight(token: str, d: int) -> float:
             w = max(0.05, total - math.log(d))
             return -w if token in GIVEN or (len(token) <= 5 and any(short_for(token, c) for c in common)) else w
 
+        for b in batches:
+            w = list(map(weight, b.column("token").to_pylist(), b.column("df").to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column("token"), pa.array(w, pa.float64())], names=["token", "weight"])
+
+    weights = df.select("token", "df").mapInArrow(weigh, "token string, weight double")
+    of_name = words.join(weights, "token").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("w"))  # tokens of one name
+    info = cut(base.join(of_name, "name").select("name", "tokens", F.transform("tokens", lambda t: F.try_element_at("w", t)).alias("weights")))
+    side = lambda x: info.select(F.col("name").alias(f"name_{x}"), F.col("tokens").alias(f"t{x}"), F.col("weights").alias(f"w{x}"))
+    rich = candidates(info).join(side("a"), "name_a").join(side("b"), "name_b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = b.to_pydict()
-            kind = [relation(ta, list(map(weight, ta, da)), tb, list(map(weight, tb, db)), least) for ta, da, tb, db in zip(cols["ta"], cols["da"], cols["tb"], cols["db"])]
+            kind = [relation(ta, wa, tb, wb, least) for ta, wa, tb, wb in zip(cols["ta"], cols["wa"], cols["tb"], cols["wb"])]
             out = pa.RecordBatch.from_arrays([b.column("name_a"), b.column("name_b"), pa.array(kind, pa.int32())], names=["name_a", "name_b", "kind"])
             yield out.filter(pa.array([k > 0 for k in kind], pa.bool_()))
 
-    return rich.select("name_a", "name_b", "ta", "da", "tb", "db").mapInArrow(verify, "name_a string, name_b string, kind int")
+    return rich.select("name_a", "name_b", "ta", "wa", "tb", "wb").mapInArrow(verify, "name_a string, name_b string, kind int")
 
 
 def components(links: DataFrame) -> DataFrame:

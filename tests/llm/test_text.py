@@ -98,6 +98,16 @@ def test_components(spark):
     assert {got[f"n{i:02}"] for i in range(21)} == {"n00"} and got["y"] == "x"
 
 
+def test_a_party_of_many_spellings_keeps_its_variants(spark):
+    forms = ["", " Ltd", " Limited", " LLC", " Inc", " Corp", " Co", " Company", " GmbH", " AG", " AB", " SA", " KG", " NV", " BV", " Oy", " AS", " SRL", " Pty", " PLC"]
+    rows = [f"Organization: {n} Systems{f}" for n in ("Brafalnir", "BRAFALNIR") for f in forms]
+    rows += ["Organization: Brafalnir", "Organization: Brafalnri Systems"] + [f"Organization: {a}{b} Systems" for a in ("Kolvet", "Murdisk", "Zanpoly") for b in ("or", "ulix", "ahem")]
+    df = spark.createDataFrame([(r, None) for r in rows], "supplier string, originator string")
+    got = {tuple(r) for r in names.same_party(df, ["supplier", "originator"]).collect()}
+    assert ("Brafalnir", "Brafalnir Systems") in got and ("Brafalnir Systems", "Brafalnri Systems") in got
+    assert len(got) == 42 * 41 // 2
+
+
 # --- leaks
 
 
