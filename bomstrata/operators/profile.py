@@ -59,6 +59,9 @@ PACKAGE_RULES = (
     ColumnRule("supplier", is_party, _party_kinds),
 )
 
+#: Least change of a share that is a drift, and least share of a single value that is followed.
+MIN_SHIFT = 0.02
+
 _FOOTER = "path string, row_group int, column_name string, n_rows long, n_nulls long, low string, high string, load_low long, load_high long, candidates array<string>"
 
 
@@ -177,26 +180,31 @@ def _frequent(df: DataFrame, load: str, rules, share: float) -> DataFrame:
     return long(df).join(cand, ["column_name", "value"], "left_semi").groupBy("load_no", "column_name", F.concat(F.lit("value "), "value").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def drifts(counts: DataFrame, min_shift: float = 0.05, z: float = 5.0, wobble: float = 0.2) -> DataFrame:
+def drifts(counts: DataFrame, min_shift: float = MIN_SHIFT, z: float = 3.0, wobble: float = 0.2, chances: float = 5.0) -> DataFrame:
     """(column_name, load_no, feature, share, usual, score) that depart plainly from the bulk of the loads.
 
-    A share departs if it differs from the median over all loads by at least ``min_shift`` and by ``z`` times
-    the spread expected from a relative wobble, from chance at this load's size, and from the median deviation
-    of the loads. A list per feature holds one number per load, nothing that grows with the rows.
+    Every feature is judged in every load, also where it does not occur. With ``rate`` the smaller one of the median
+    share over all loads and its complement, so that falls and rises, and shares of p and 1 - p, count alike, a share
+    departs if it differs from the median by ``z`` times the spread expected from a relative wobble of ``rate``, from
+    chance at this load's size, and from the median deviation of the loads; and by ``chances`` times chance alone,
+    as many features are tried, and ``min_shift``, as a few rows that are delivered again make no drift. A list per
+    feature holds one number per load, nothing that grows with the rows.
     """
-    rows = counts.where(F.col("feature") == "rows").select("column_name", "load_no", F.col("n").alias("total"))
-    loads = rows.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_loads"))
-    d = counts.where(F.col("feature") != "rows").join(rows, ["column_name", "load_no"])
-    d = d.groupBy("column_name", "feature").agg(F.collect_list(F.struct((F.col("n") / F.col("total")).alias("share"), "load_no", "total")).alias("s")).join(loads, "column_name")
-    padded = lambda values: F.array_sort(F.concat(values, F.array_repeat(F.lit(0.0), (F.col("n_loads") - F.size(values)).cast("int"))))
+    c = counts.withColumn("at", F.coalesce(F.col("load_no").cast("string"), F.lit("")))  # a null load is a load too
+    rows = c.where(F.col("feature") == "rows").select("column_name", "at", "load_no", F.col("n").alias("total"))
+    seen = c.where(F.col("feature") != "rows").select("column_name", "at", "feature", "n")
+    # a feature that is nowhere as large as the least shift shifts nowhere
+    kept = seen.join(rows, ["column_name", "at"]).groupBy("column_name", "feature").agg(F.max(F.col("n") / F.col("total")).alias("most")).where(F.col("most") >= min_shift).select("column_name", "feature")
+    d = rows.join(kept, "column_name").join(seen, ["column_name", "at", "feature"], "left").withColumn("share", F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)))
+    d = d.groupBy("column_name", "feature").agg(F.collect_list(F.struct("share", "load_no", "total")).alias("s"))
     middle = lambda a: (F.element_at(a, F.floor((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, F.floor(F.size(a) / 2).cast("int") + 1)) / 2
-    d = d.withColumn("usual", middle(padded(F.transform("s", lambda x: x["share"]))))
-    away = F.concat(F.transform("s", lambda x: F.abs(x["share"] - F.col("usual"))), F.array_repeat(F.col("usual"), (F.col("n_loads") - F.size("s")).cast("int")))
-    d = d.withColumn("spread", 1.4826 * middle(F.array_sort(away)))
+    d = d.withColumn("usual", middle(F.array_sort(F.transform("s", lambda x: x["share"]))))
+    d = d.withColumn("spread", 1.4826 * middle(F.array_sort(F.transform("s", lambda x: F.abs(x["share"] - F.col("usual"))))))
     d = d.select("column_name", "feature", "usual", "spread", F.explode("s").alias("x")).select("column_name", "feature", "usual", "spread", "x.*")
-    chance = F.greatest(F.col("usual"), 1 / F.col("total")) * (1 - F.col("usual")) / F.col("total")
-    score = F.abs(F.col("share") - F.col("usual")) / F.sqrt(F.pow(wobble * F.col("usual"), 2) + chance + F.pow("spread", 2))
-    return d.withColumn("score", score).where((F.abs(F.col("share") - F.col("usual")) >= min_shift) & (F.col("score") >= z)).select("column_name", "load_no", "feature", "share", "usual", "score")
+    shift, rate = F.abs(F.col("share") - F.col("usual")), F.least(F.col("usual"), 1 - F.col("usual"))
+    chance = F.greatest(F.col("usual"), 1 / F.col("total")) * F.greatest(1 - F.col("usual"), 1 / F.col("total")) / F.col("total")
+    d = d.withColumn("score", shift / F.sqrt(F.pow(wobble * rate, 2) + chance + F.pow("spread", 2)))
+    return d.where((shift >= min_shift) & (shift >= chances * F.sqrt(chance)) & (F.col("score") >= z)).select("column_name", "load_no", "feature", "share", "usual", "score")
 
 
 def violations(df: DataFrame, key: str, rules) -> DataFrame:
@@ -214,7 +222,7 @@ def find_cases(spark: SparkSession, path: str, key: str, load: str, rules=PACKAG
     their first 200 characters tell them apart. Empty tables, and tables with a single load, give no drift.
     """
     df, parts = _read(spark, path, rules, load)
-    counts = cut(_all_counts(df, parts, load, rules).unionByName(_frequent(df, load, rules, 0.04)))  # a few rows per load
+    counts = cut(_all_counts(df, parts, load, rules).unionByName(_frequent(df, load, rules, MIN_SHIFT)))  # a few rows per load
     drift = drifts(counts).where(F.col("load_no").isNotNull()).select(F.lit("drift").alias("case_kind"), "column_name", F.col("load_no").alias("case_key")).distinct()
     bad = violations(df, key, rules).select(F.lit("violation").alias("case_kind"), "column_name", "case_key")
     return bad.unionByName(drift)

@@ -252,3 +252,18 @@ def test_settled_files_are_not_scanned(spark, tmp_path):
     assert df.count() == 0
     counts = {(r["column_name"], r["feature"]): r["n"] for r in profile._all_counts(df, parts, "load_no", profile.PACKAGE_RULES).collect()}
     assert counts[("version_info", "rows")] == 6 and counts[("version_info", "null")] == 2 and counts[("supplier", "null")] == 6
+
+
+def test_drift_sees_falls_and_large_shares(spark):
+    # null: 8 % falls to none; token: 40 % falls to none; kind: 70 % rises to all; other: 30 % rises to 55 %; calm: wobbles by a fifth
+    usual = {"null": 0.08, "token": 0.4, "kind": 0.7, "other": 0.3, "calm": 0.3}
+    odd = {(3, "null"): 0.0, (4, "token"): 0.0, (5, "kind"): 1.0, (6, "other"): 0.55}
+    rows = []
+    for load in range(1, 11):
+        rows.append(("c", load, "rows", 5000))
+        for f, u in usual.items():
+            share = odd.get((load, f), u * (1 + 0.2 * (-1) ** load) if f == "calm" else u * (1 + 0.02 * (load % 3 - 1)))
+            if share:
+                rows.append(("c", load, f, round(share * 5000)))
+    got = {(r["load_no"], r["feature"]) for r in profile.drifts(spark.createDataFrame(rows, "column_name string, load_no long, feature string, n long")).collect()}
+    assert got == set(odd)
