@@ -243,18 +243,45 @@ def profile(spark: SparkSession, path: str, load: str, rules=PACKAGE_RULES) -> D
     )
 
 
+_CHUNK = "column_name string, n_rows long, n_nulls long, low string, high string, candidates array<string>"
+
+
+def scan_chunks(chunks: DataFrame) -> DataFrame:
+    """Rows, nulls, extrema and distinct values of single column chunks (``chunks``: path, row_group, column_name).
+
+    Nothing but the pages of those chunks is read. A row per batch of a chunk, so that no list grows with the chunk.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for uri, g, name in zip(*(batch.column(c).to_pylist() for c in ("path", "row_group", "column_name"))):
+                where, p = fs.FileSystem.from_uri(uri)
+                with where.open_input_file(p) as f:
+                    for part in pq.ParquetFile(f).iter_batches(batch_size=1 << 16, row_groups=[g], columns=[name]):
+                        v = part.column(0).cast(pa.string())
+                        ends = pc.min_max(v).as_py()
+                        row = {"column_name": name, "n_rows": len(v), "n_nulls": v.null_count, "low": ends["min"], "high": ends["max"], "candidates": pc.unique(v.drop_null()).to_pylist()}
+                        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("column_name", pa.string()), ("n_rows", pa.int64()), ("n_nulls", pa.int64()), ("low", pa.string()), ("high", pa.string()), ("candidates", pa.list_(pa.string()))]))
+
+    n = min(chunks.count(), 8 * chunks.sparkSession.sparkContext.defaultParallelism)
+    return chunks.select("path", "row_group", "column_name").repartition(max(1, n), "path", "row_group", "column_name").mapInArrow(read, _CHUNK)
+
+
 def footer_profile(spark: SparkSession, path: str, load: str, columns: list[str]) -> DataFrame:
-    """Per text column of the whole table: rows, nulls, extrema and distinct values without a scan of the data.
+    """Per text column of the whole table: rows, nulls, extrema and distinct values, scanning only what footers leave open.
 
-    Nulls and extrema come from footers, distinct values from dictionary pages. Each is null where a chunk's
-    statistics or dictionary do not suffice; ``n_unsettled`` counts those chunks, which ``profile`` has to scan.
+    Nulls and extrema come from footers, distinct values from dictionary pages. Chunks whose statistics or dictionary
+    do not suffice, and only those, are scanned; ``n_unsettled`` counts chunks that are still open then.
     """
     f = cut(footers(spark, path, load, columns, dictionaries=True))
     stats = F.col("n_nulls").isNotNull() & (F.col("low").isNotNull() | (F.col("n_nulls") == F.col("n_rows")))
-    fit = F.col("candidates").isNotNull()
-    out = f.groupBy("column_name").agg(
-        F.sum("n_rows").alias("n_rows"), F.when(F.min(stats), F.sum("n_nulls")).alias("n_nulls"), F.when(F.min(stats), F.min("low")).alias("low"), F.when(F.min(stats), F.max("high")).alias("high"),
-        F.min(fit).alias("fit"), F.count_if(~stats | ~fit).alias("n_unsettled"),
-    )
+    fit = stats & F.col("candidates").isNotNull()
+    fields = ("column_name", "n_rows", "n_nulls", "low", "high", "candidates")
+    f = cut(f.where(fit).select(*fields).unionByName(scan_chunks(f.where(~fit)))) if not f.where(~fit).isEmpty() else f.select(*fields)
+    out = f.groupBy("column_name").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_nulls").alias("n_nulls"), F.min("low").alias("low"), F.max("high").alias("high"), F.count_if(~fit).alias("n_unsettled"))
     values = f.select("column_name", F.explode("candidates").alias("v")).distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
-    return out.join(values, "column_name", "left").select("column_name", "n_rows", "n_nulls", "low", "high", F.when(F.col("fit"), F.coalesce("n", F.lit(0))).alias("n_distinct"), "n_unsettled")
+    return out.join(values, "column_name", "left").select("column_name", "n_rows", "n_nulls", "low", "high", F.coalesce("n", F.lit(0)).alias("n_distinct"), "n_unsettled")

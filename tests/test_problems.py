@@ -267,3 +267,17 @@ def test_drift_sees_falls_and_large_shares(spark):
                 rows.append(("c", load, f, round(share * 5000)))
     got = {(r["load_no"], r["feature"]) for r in profile.drifts(spark.createDataFrame(rows, "column_name string, load_no long, feature string, n long")).collect()}
     assert got == set(odd)
+
+
+def test_chunks_that_footers_leave_open_are_scanned(spark, tmp_path):
+    # purl outgrows its dictionary page in the first file; the second has neither dictionary nor statistics
+    a = [f"pkg:npm/name-{i:06d}@1.{i}" if i % 9 else None for i in range(5000)]
+    b = [f"pkg:npm/name-{i:06d}@1.{i}" if i % 7 else None for i in range(4000, 7000)]
+    make = lambda purl: pa.table({"load_no": pa.array([1] * len(purl), pa.int32()), "version_info": ["1.0"] * len(purl), "purl": purl})
+    pq.write_table(make(a), tmp_path / "a.parquet", dictionary_pagesize_limit=2000, data_page_size=2000, row_group_size=2500, write_batch_size=100)
+    pq.write_table(make(b), tmp_path / "b.parquet", use_dictionary=False, write_statistics=False)
+    assert profile.footers(spark, str(tmp_path), "load_no", ["purl"], dictionaries=True).where("candidates is null").count() == 3
+    got = {r["column_name"]: tuple(r)[1:] for r in profile.footer_profile(spark, str(tmp_path), "load_no", ["version_info", "purl"]).collect()}
+    known = set(a + b) - {None}
+    assert got["purl"] == (8000, (a + b).count(None), min(known), max(known), len(known), 0)
+    assert got["version_info"] == (8000, 0, "1.0", "1.0", 1, 0)
