@@ -281,3 +281,17 @@ def test_chunks_that_footers_leave_open_are_scanned(spark, tmp_path):
     known = set(a + b) - {None}
     assert got["purl"] == (8000, (a + b).count(None), min(known), max(known), len(known), 0)
     assert got["version_info"] == (8000, 0, "1.0", "1.0", 1, 0)
+
+
+def test_profile_counts_distinct_values_exactly(spark, tmp_path):
+    rows = [(load, f"{i * (load or 3) % 7919}.{i % 3}.0" if i % 11 else None, f"pkg:npm/a{i * (load or 3) % 6007}@1" if i % 13 else "n/a", "Organization: X") for load in (1, 2, None) for i in range(9000)]
+    cols = list(zip(*rows))
+    pq.write_table(pa.table({"load_no": pa.array(cols[0], pa.int32()), "version_info": cols[1], "purl": cols[2], "supplier": cols[3]}), tmp_path / "t.parquet")
+    got = {(r["column_name"], r["load_no"]): r for r in profile.profile(spark, str(tmp_path), "load_no").collect()}
+    assert len(got) == 9
+    for at, name in ((1, "version_info"), (2, "purl"), (3, "supplier")):
+        for load in (1, 2, None):
+            values = [r[at] for r in rows if r[0] == load]
+            known = set(values) - {None, "n/a"}
+            r = got[(name, load)]
+            assert (r["n_rows"], r["n_nulls"], r["n_tokens"], r["n_violations"], r["n_distinct"], r["low"], r["high"]) == (9000, values.count(None), values.count("n/a"), 0, len(known), min(known), max(known))
