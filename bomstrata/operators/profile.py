@@ -171,13 +171,22 @@ def _all_counts(df: DataFrame, parts: DataFrame | None, load: str, rules) -> Dat
     return counts
 
 
-def _frequent(df: DataFrame, load: str, rules, share: float) -> DataFrame:
-    """Exact counts, in every load, of the values that hold ``share`` of some load."""
-    long = lambda d: d.select(F.col(load).cast("long").alias("load_no"), F.explode(F.array(*[F.struct(F.lit(r.name).alias("column_name"), F.substring(F.col(r.name), 1, 200).alias("value")) for r in rules])).alias("x")).select("load_no", "x.column_name", "x.value").where(F.col("value").isNotNull())
-    top = long(df).groupBy("load_no", "column_name").agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(value, {int(1 / share) + 1}, 1000)").alias("top"))
+def _frequent(df: DataFrame, parts: DataFrame | None, load: str, rules, share: float) -> DataFrame:
+    """Exact counts, in every load, of the values that hold ``share`` of some load; chunks that footers settle count too."""
+    text = lambda c: F.substring(c, 1, 200).alias("value")
+    long = df.select(F.col(load).cast("long").alias("load_no"), F.explode(F.array(*[F.struct(F.lit(r.name).alias("column_name"), text(F.col(r.name))) for r in rules])).alias("x")).select("load_no", "x.column_name", "x.value").where(F.col("value").isNotNull())
+    top = long.groupBy("load_no", "column_name").agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(value, {int(1 / share) + 1}, 1000)").alias("top"))
     # at most 1/share values a load and column, so this side is bounded by the number of loads
-    cand = top.select("n", "column_name", F.explode("top").alias("t")).where(F.col("t.count") >= share * F.col("n")).select("column_name", F.col("t.item").alias("value")).distinct()
-    return long(df).join(cand, ["column_name", "value"], "left_semi").groupBy("load_no", "column_name", F.concat(F.lit("value "), "value").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
+    cand = top.select("n", "column_name", F.explode("top").alias("t")).where(F.col("t.count") >= share * F.col("n")).select("column_name", F.col("t.item").alias("value"))
+    rows = long.withColumn("w", F.lit(1).cast("long"))
+    if parts is not None:
+        # what holds the share of a load holds it of the scanned or of the settled rows
+        own = parts.where(F.col("value").isNotNull()).select("load_no", "column_name", text(F.col("value")), "w")
+        sums = own.groupBy("load_no", "column_name", "value").agg(F.sum("w").alias("n"))
+        total = own.groupBy("load_no", "column_name").agg(F.sum("w").alias("total"))
+        cand = cand.unionByName(sums.join(total, ["load_no", "column_name"]).where(F.col("n") >= share * F.col("total")).select("column_name", "value"))
+        rows = rows.unionByName(own)
+    return rows.join(cand.distinct(), ["column_name", "value"], "left_semi").groupBy("load_no", "column_name", F.concat(F.lit("value "), "value").alias("feature")).agg(F.sum("w").alias("n"))
 
 
 def drifts(counts: DataFrame, min_shift: float = MIN_SHIFT, z: float = 3.0, wobble: float = 0.2, chances: float = 5.0) -> DataFrame:
@@ -222,7 +231,7 @@ def find_cases(spark: SparkSession, path: str, key: str, load: str, rules=PACKAG
     their first 200 characters tell them apart. Empty tables, and tables with a single load, give no drift.
     """
     df, parts = _read(spark, path, rules, load)
-    counts = cut(_all_counts(df, parts, load, rules).unionByName(_frequent(df, load, rules, MIN_SHIFT)))  # a few rows per load
+    counts = cut(_all_counts(df, parts, load, rules).unionByName(_frequent(df, parts, load, rules, MIN_SHIFT)))  # a few rows per load
     drift = drifts(counts).where(F.col("load_no").isNotNull()).select(F.lit("drift").alias("case_kind"), "column_name", F.col("load_no").alias("case_key")).distinct()
     bad = violations(df, key, rules).select(F.lit("violation").alias("case_kind"), "column_name", "case_key")
     return bad.unionByName(drift)

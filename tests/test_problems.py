@@ -295,3 +295,18 @@ def test_profile_counts_distinct_values_exactly(spark, tmp_path):
             known = set(values) - {None, "n/a"}
             r = got[(name, load)]
             assert (r["n_rows"], r["n_nulls"], r["n_tokens"], r["n_violations"], r["n_distinct"], r["low"], r["high"]) == (9000, values.count(None), values.count("n/a"), 0, len(known), min(known), max(known))
+
+
+def test_a_settled_file_of_one_value_drifts_like_scanned_rows(spark, tmp_path):
+    # load 8 has only 'Organization: X' and is settled by its footer; elsewhere each supplier is another
+    def table(load, supplier):
+        n = len(supplier)
+        return pa.table({"id": pa.array(range(load * 1000, load * 1000 + n), pa.int64()), "load_no": pa.array([load] * n, pa.int32()), "version_info": ["1.0.0"] * n, "purl": ["pkg:npm/a@1"] * n, "supplier": supplier})
+
+    loads = [table(i, [f"Organization: X{j}" for j in range(500)]) for i in range(1, 8)] + [table(8, ["Organization: X"] * 500)]
+    for i, t in enumerate(loads):
+        pq.write_table(t, tmp_path / f"{i}.parquet")
+    df, parts = profile._read(spark, str(tmp_path), profile.PACKAGE_RULES, "load_no")
+    assert df.count() == 3500 and parts is not None
+    got = [tuple(r) for r in profile.find_cases(spark, str(tmp_path), "id", "load_no").collect()]
+    assert got == [("drift", "supplier", 8)]
