@@ -5,7 +5,8 @@ narrow map, so documents are never shuffled and a hot author, source or copy cos
 batches of documents become word numbers with vectorised Arrow functions; a running Karp-Rabin hash over
 ``SEED`` words joins documents and items on shared seeds. Each pair that shares one is tiled: the longest
 common runs of words are marked first, never overlapping, down to runs of ``TILE`` words. Neighbouring tiles in
-the same order, with a few words replaced between them, form a passage; a passage of ``min_words`` item words or
+the same order, with a few words replaced between them, form a passage, which goes on over single replaced words at
+both ends; a passage of ``min_words`` item words or
 more, of which tiles cover ``coverage``, is a leak. Tiles do not have to follow the item's order as a whole, so
 items whose sentences were rearranged are found by each passage.
 """
@@ -90,21 +91,44 @@ def tiles(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def _beyond(item: np.ndarray, doc: np.ndarray, x: int, y: int, step: int, most: int) -> list[tuple[int, int]]:
+    """(words, equal words) that a passage may gain from positions x and y on, over single replaced words."""
+    out, words_, equal, replaced = [(0, 0)], 0, 0, False
+    while words_ < most and 0 <= x < len(item) and 0 <= y < len(doc):
+        same = item[x] == doc[y]
+        if not same and replaced:
+            break
+        replaced = not same
+        words_, equal = words_ + 1, equal + int(same)
+        if same:
+            out.append((words_, equal))
+        x, y = x + step, y + step
+    return out
+
+
 def has_passage(item: np.ndarray, doc: np.ndarray, min_words: int, coverage: float) -> bool:
-    """Whether neighbouring tiles cover a passage of ``min_words`` words of the item."""
+    """Whether neighbouring tiles, with runs shorter than a tile at both ends, cover a passage of ``min_words`` words of the item."""
     marked = sorted(tiles(item, doc), key=lambda t: t[1])
     for s in range(len(marked)):
         x, y, m = marked[s]
         start, end_i, end_j, covered = x, x + m, y + m, m
         if m >= min_words:
             return True
+        before = _beyond(item, doc, x - 1, y - 1, -1, min_words)
+
+        def fits() -> bool:
+            after = _beyond(item, doc, end_i, end_j, 1, min_words)
+            return any((n := end_i - start + u + w) >= min_words and covered + v + e >= coverage * n for u, v in before for w, e in after)
+
+        if fits():
+            return True
         for x, y, m in marked[s + 1 :]:
             if y - end_j > GAP:
                 break
             if not 0 <= x - end_i <= GAP:
                 continue
             end_i, end_j, covered = x + m, y + m, covered + m
-            if end_i - start >= min_words and covered >= coverage * (end_i - start):
+            if fits():
                 return True
     return False
 
@@ -140,7 +164,7 @@ def number(flat: pa.Array, vocabulary: pa.Array) -> np.ndarray:
 _INDEXES: dict = {}
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 20, coverage: float = 0.88) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 20, coverage: float = 0.875) -> DataFrame:
     """``doc_id, item_id`` of each document whose text holds a passage of an item.
 
     Letter case, punctuation, layout, markup and a few replaced words (one in eight at most) do not count. Items of

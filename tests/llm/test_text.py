@@ -1,5 +1,6 @@
 """The text operators against brute force and on edge cases."""
 
+import inspect
 import random
 
 import numpy as np
@@ -129,6 +130,20 @@ def test_leaks(spark):
     assert leaks.find_leaks(d.limit(0), it).count() == leaks.find_leaks(d, it.limit(0)).count() == 0
 
 
+def test_one_word_in_eight_may_be_replaced():
+    item = np.arange(1, 61)
+
+    def doc(a, n, *at):
+        d = item[a : a + n].copy()
+        d[list(at)] = 0
+        return np.r_[0, 0, d, 0, 0]
+
+    has = lambda d: leaks.has_passage(item, d, 20, inspect.signature(leaks.find_leaks).parameters["coverage"].default)
+    assert has(doc(10, 24, 5, 11, 17))  # 21 of 24
+    assert has(doc(10, 20, 1)) and has(doc(10, 20, 2)) and has(doc(10, 20, 18)) and has(doc(10, 21, 1, 19)) and has(doc(10, 20, 17))
+    assert not has(doc(10, 20, 4, 9, 14)) and not has(doc(10, 19)) and not has(doc(10, 20, 0)) and not has(doc(10, 20, 1, 10, 18))
+
+
 def test_tiles_do_not_overlap():
     rng = np.random.default_rng(2)
     for _ in range(30):
