@@ -12,6 +12,18 @@ _DECL = "array<struct<raw:string,source:string,normalized:string,method:string>>
 _MAP = "map<string,string>"
 
 
+#: Most entries of license_reference that are read on the driver.
+MAX_LICENSES = 10_000
+
+
+def reference_licenses(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The sorted ids of license_reference; a table above the bound is refused, not cut."""
+    ids = [r[0] for r in spark.read.parquet(f"{sf_dir}/license_reference.parquet").select("license_id").limit(MAX_LICENSES + 1).collect()]
+    if len(ids) > MAX_LICENSES:
+        raise ValueError(f"license_reference has more than {MAX_LICENSES} entries, the most that are read on the driver")
+    return sorted(ids)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """Documents by ``sbom_id`` (of repeated deliveries the last), SPDX packages and CycloneDX components as delivered.
 
@@ -19,7 +31,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     those of license_reference, a table of fixed size that is read on the driver.
     """
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    tables = licenses.tables_with(sorted(r[0] for r in t("license_reference").select("license_id").limit(10_000).collect()))
+    tables = licenses.tables_with(reference_licenses(spark, sf_dir))
     none = lambda kind: F.lit(None).cast(kind)
     fields = ("sbom_format", "spec_version", "doc_encoding", "doc_name", "namespace_uri", "serial_number", "bom_version", "doc_timestamp", "creators", "tools", "lifecycles", "data_license", "signed")
     d = t("sbom_document").where(F.col("sbom_id").isNotNull()).groupBy("sbom_id").agg(F.max_by(F.struct(*fields), "doc_row_id").alias("d"))

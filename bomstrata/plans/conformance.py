@@ -230,7 +230,7 @@ def lic_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def lic_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy actions of licence expressions: OR takes the least, AND the most restrictive."""
-    ref = sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/license_reference.parquet").select("license_id").limit(10_000).collect())
+    ref = binding.reference_licenses(spark, sf_dir)
     rules = {("distribution", i): ("deny" if "Network" in i or i.startswith("Lanternby") else "flag_for_review" if i.endswith("-or-later") else "approve") for i in ref}
     d = spark.read.parquet(f"{sf_dir}/license_declaration.parquet").where(F.col("raw").isNotNull())
     action = licenses.decide(F.col("raw"), licenses.Policy(rules, "flag_for_review"), "distribution", licenses.tables_with(ref))

@@ -169,3 +169,17 @@ def test_stream(spark, tmp_path):
     q = validate_stream(spark, str(src), str(out), ["baseline"], str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(out)).where("verdict = 'FAIL'").count() == 1
+
+
+def test_a_licence_list_above_the_bound_is_refused(spark, tmp_path, monkeypatch):
+    from bomstrata.plans import binding, conformance
+
+    spark.createDataFrame([(f"L-{i}",) for i in range(4)], "license_id string").write.parquet(f"{tmp_path}/license_reference.parquet")
+    spark.createDataFrame([("L-1",)], "raw string").write.parquet(f"{tmp_path}/license_declaration.parquet")
+    monkeypatch.setattr(binding, "MAX_LICENSES", 4, raising=False)
+    assert binding.reference_licenses(spark, str(tmp_path)) == ["L-0", "L-1", "L-2", "L-3"]
+    monkeypatch.setattr(binding, "MAX_LICENSES", 3, raising=False)
+    with pytest.raises(ValueError, match="license_reference"):
+        conformance.lic_policy(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="license_reference"):
+        binding.corpus(spark, str(tmp_path))
