@@ -1,80 +1,108 @@
 """Column-level data quality profile: nulls, tokens, distinct values, ranges, pattern violations, drift.
 
-1. Footers. One small task per file reads the parquet footer only: exact null counts and extrema per row
-   group where the statistics are valid, and the dictionary pages of the profiled columns for candidates of
-   distinct values (``footers``).
-2. A file whose footer settles everything (every row group in a single load, every profiled column all null or
-   one single conforming value) is not scanned; its counts come from the footer (``settled_files``).
-3. All other files are scanned column-pruned in the JVM; features are counted with map-side aggregation.
+The unit of work is a column chunk: one column of one row group of one file.
+
+1. Footers. One small task per file reads the footer and the dictionary pages of the profiled columns, no data page:
+   exact null counts and extrema where the statistics are valid, and a chunk's distinct values (``footers``). Each
+   distinct value is judged once: is the chunk clean, does it hold one value only, is it of one load only.
+2. Chunks of one load that are all null, or nulls and a single value that breaks no pattern, are settled: their counts
+   are known, and nothing of them is read again.
+3. Only the other chunks are scanned, each by itself: its own column as a dictionary with indices, the load where the
+   row group has several, and the row key where the dictionary has values off their pattern. Patterns are matched
+   on dictionary values, not on rows; counts leave the task per (load, feature).
 
 Drift compares the share of each feature (nulls, tokens, violations, kinds of value, frequent single values) in
-a load with the median over all loads. Frequent values are found by a sketch that is certain to hold every value
-of a share above 1/750 of its load, and then counted exactly.
+a load with the median over all loads. A value that holds ``share`` of a load holds half of it in one of its chunks at
+least, or its chunks with half of it add up to half: each chunk names such values (at most ``2 / share`` a load), and a
+second pass over the open chunks counts those that may reach the share exactly.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomstrata.functions.patterns import is_party, is_placeholder, is_purl, is_semver_or_calver
-from bomstrata.functions.text import is_null_token
+from bomstrata.functions import patterns
+from bomstrata.functions.text import NULL_TOKENS, WHITESPACE
 from bomstrata.session import cut
 
 
 @dataclass(frozen=True)
 class ColumnRule:
-    """What a column's values must look like, and which kinds of value to tell apart."""
+    """What a column's values must look like (``pattern``), must not (``refused``), and kinds of value to tell apart."""
 
     name: str
-    conforms: Callable[[Column], Column]
-    kinds: Callable[[Column], list[Column]]
+    pattern: str
+    kinds: Callable[[pa.Array], list[pa.Array]]
+    refused: str | None = None
+
+    def breaks(self, values: pa.Array) -> pa.Array:
+        bad = pc.invert(pc.match_substring_regex(values, self.pattern))
+        return pc.or_(bad, pc.match_substring_regex(values, self.refused)) if self.refused else bad
+
+
+def is_token(values: pa.Array) -> pa.Array:
+    """Whether a text only stands for an absent value."""
+    return pc.is_in(pc.utf8_lower(pc.utf8_trim(values, WHITESPACE)), value_set=pa.array(NULL_TOKENS))
+
+
+def _named(name: str, values: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(pa.scalar(name), values, "")
+
+
+def _choice(mask: pa.Array, yes: str, no: str) -> pa.Array:
+    return pc.if_else(mask, pa.scalar(yes), pa.scalar(no))
 
 
-def _version_kinds(c: Column) -> list[Column]:
-    shape = F.regexp_replace(F.regexp_replace(F.substring(c, 1, 64), "[0-9]+", "9"), "[A-Za-z]+", "a")
-    return [F.concat(F.lit("shape "), F.substring(shape, 1, 24))]
+def _version_kinds(v: pa.Array) -> list[pa.Array]:
+    return [_named("shape ", pc.replace_substring_regex(pc.replace_substring_regex(v, "[0-9]+", "9"), "[A-Za-z]+", "a"))]
 
 
-def _purl_kinds(c: Column) -> list[Column]:
-    return [
-        F.concat(F.lit("type "), F.regexp_extract(F.substring(c, 1, 64), r"^([^/@?# ]{0,24})/?([a-z]{0,3}://)?", 1)),
-        F.concat(F.lit("form"), F.when(c.contains("@"), " version").otherwise(""), F.when(c.contains("?"), " qualifiers").otherwise(""), F.when(c.contains("#"), " subpath").otherwise("")),
-    ]
+def _purl_kinds(v: pa.Array) -> list[pa.Array]:
+    form = pc.binary_join_element_wise(*[_choice(pc.match_substring(v, mark), name, "") for mark, name in (("@", " version"), ("?", " qualifiers"), ("#", " subpath"))], "")
+    return [_named("type ", pc.replace_substring_regex(v, r"(?s)[/@?# ].*\z", "")), _named("form", form)]
 
 
-def _party_kinds(c: Column) -> list[Column]:
-    return [F.concat(F.lit("prefix "), F.regexp_extract(c, r"^([^:]{0,24}):", 1)), F.when(c.endswith(")"), "with address").otherwise("without address")]
+def _party_kinds(v: pa.Array) -> list[pa.Array]:
+    prefix = pc.if_else(pc.match_substring(v, ":"), pc.replace_substring_regex(v, r"(?s):.*\z", ""), pa.scalar(""))
+    return [_named("prefix ", prefix), _choice(pc.ends_with(v, ")"), "with address", "without address")]
 
 
+#: A version is judged as written: white space around it is off the pattern, though a validator that trims lets it pass.
 PACKAGE_RULES = (
-    ColumnRule("version_info", lambda c: is_semver_or_calver(c) & ~is_placeholder(c), _version_kinds),
-    ColumnRule("purl", is_purl, _purl_kinds),
-    ColumnRule("supplier", is_party, _party_kinds),
+    ColumnRule("version_info", patterns.VERSION, _version_kinds, patterns.PLACEHOLDER),
+    ColumnRule("purl", patterns.PURL, _purl_kinds),
+    ColumnRule("supplier", patterns.PARTY, _party_kinds),
 )
 
 #: Least change of a share that is a drift, and least share of a single value that is followed.
 MIN_SHIFT = 0.02
 
-_FOOTER = "path string, row_group int, column_name string, n_rows long, n_nulls long, low string, high string, load_low long, load_high long, candidates array<string>"
+_FOOTER = "path string, row_group int, column_name string, n_rows long, n_nulls long, low string, high string, load_low long, load_high long, candidates array<string>, n_values long, only string, clean boolean"
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
-def footers(spark: SparkSession, path: str, load: str, columns: list[str], dictionaries: bool = False) -> DataFrame:
+def _arrow(ddl: str) -> pa.Schema:
+    return pa.schema([(n, _KINDS[t]) for n, t in (f.split() for f in ddl.split(", "))])
+
+
+def footers(spark: SparkSession, path: str, load: str, columns: list[str], dictionaries: bool = False, rules: tuple[ColumnRule, ...] = ()) -> DataFrame:
     """One row per file, row group and text column, read from footers and, on request, dictionary pages.
 
     ``n_nulls``, ``low``, ``high``, ``load_low``, ``load_high`` are null where the file has no valid statistics.
     ``candidates`` are the dictionary's values, which are the chunk's distinct values; it is null where pages
-    without a dictionary occur. Data pages are skipped, not read. A column that a file lacks counts as all null.
-    Empty files give no rows.
+    without a dictionary occur. With ``rules``, in their place: ``n_values``, the number of values; ``only``, the value
+    if there is one only; ``clean``, whether none is off its pattern. Data pages are skipped, not read. A column that
+    a file lacks counts as all null. Empty files give no rows.
     """
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
-    schema = pa.schema([(n, kinds[t]) for n, t in (f.split() for f in _FOOTER.split(", "))])
+    schema = _arrow(_FOOTER)
+    of = {r.name: r for r in rules}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs as fs
@@ -82,6 +110,13 @@ def footers(spark: SparkSession, path: str, load: str, columns: list[str], dicti
 
         from bomstrata.sources.parquet_pages import dictionary_values
 
+        def judged(name: str, found: list[str] | None) -> tuple:
+            if name not in of or found is None:
+                return found, None, None, False
+            v = pa.array(found, pa.string())
+            clean = not pc.any(pc.and_(pc.invert(is_token(v)), of[name].breaks(v))).as_py()
+            return None, len(found), found[0] if len(found) == 1 else None, clean
+
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 where, p = fs.FileSystem.from_uri(uri)
@@ -101,11 +136,11 @@ def footers(spark: SparkSession, path: str, load: str, columns: list[str], dicti
                         for name in columns:
                             s = stat(name)
                             if name not in at:
-                                rows.append((uri, g, name, rg.num_rows, rg.num_rows, None, None, lo, hi, []))
+                                rows.append((uri, g, name, rg.num_rows, rg.num_rows, None, None, lo, hi, *judged(name, [])))
                                 continue
                             found = dictionary_values(f, rg.column(at[name])) if dictionaries else None
                             ok = s is not None and s.has_min_max
-                            rows.append((uri, g, name, rg.num_rows, s.null_count if s is not None else None, s.min if ok else None, s.max if ok else None, lo, hi, found))
+                            rows.append((uri, g, name, rg.num_rows, s.null_count if s is not None else None, s.min if ok else None, s.max if ok else None, lo, hi, *judged(name, found)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -113,80 +148,164 @@ def footers(spark: SparkSession, path: str, load: str, columns: list[str], dicti
     return files.repartition(F.col("path")).mapInArrow(read, _FOOTER)
 
 
-def _features(rule: ColumnRule) -> Column:
-    """Texts that name what a value is; null where nothing applies."""
-    c = F.col(rule.name)
-    kinds = [F.when(~rule.conforms(c), "violation"), *rule.kinds(c)]
-    return F.array_compact(F.when(c.isNull(), F.array(F.lit("null"))).when(is_null_token(c), F.array(F.lit("token"))).otherwise(F.array(*kinds)))
+_CHUNKS = ("path", "row_group", "column_name", "n_rows", "n_nulls", "load_low", "load_high", "n_values", "only", "clean")
+_SEEN = "what int, column_name string, load_no long, feature string, n long, case_key long"
+COUNT, FREQUENT, VIOLATION, VALUE = 0, 1, 2, 3
 
 
-def _tagged(name: str) -> Callable[[Column], Column]:
-    return lambda x: F.struct(F.lit(name).alias("column_name"), x.alias("feature"))
+def settled(c: dict) -> bool:
+    """Whether footer and dictionary tell all there is to know of a chunk."""
+    one_load = c["load_low"] is not None and c["load_low"] == c["load_high"]
+    return one_load and c["n_nulls"] is not None and (c["n_nulls"] == c["n_rows"] or (c["n_values"] == 1 and c["clean"]))
 
 
-def _count_features(df: DataFrame, load: str, rules, weight: Column) -> DataFrame:
-    each = F.concat(*[F.transform(F.concat(F.array(F.lit("rows")), _features(r)), _tagged(r.name)) for r in rules])
-    return df.select(F.col(load).cast("long").alias("load_no"), weight.alias("w"), F.explode(each).alias("x")).groupBy("load_no", "x.column_name", "x.feature").agg(F.sum("w").alias("n"))
+def _batches(c: dict, load: str, key: str | None) -> Iterator[tuple[pa.Array, pa.Array, pa.Array | None]]:
+    """(loads, values as a dictionary, keys or None) of a chunk; a settled chunk gives two weighted values instead of rows."""
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
 
+    name = c["column_name"]
+    where, p = fs.FileSystem.from_uri(c["path"])
+    with where.open_input_file(p) as f:
+        file = pq.ParquetFile(f, read_dictionary=[name])
+        there = set(file.schema_arrow.names)
+        one_load = c["load_low"] is not None and c["load_low"] == c["load_high"]
+        need = [n for n in dict.fromkeys((name, None if one_load else load, None if c["clean"] else key)) if n in there]
+        for b in file.iter_batches(batch_size=1 << 16, row_groups=[c["row_group"]], columns=need):
+            n = b.num_rows
+            loads = pa.array(np.full(n, c["load_low"]), pa.int64()) if one_load else b.column(load).cast(pa.int64()) if load in there else pa.nulls(n, pa.int64())
+            values = b.column(name) if name in there else pa.nulls(n, pa.string())
+            if not pa.types.is_dictionary(values.type):
+                values = values.cast(pa.string()).dictionary_encode()
+            yield loads, values, b.column(key).cast(pa.int64()) if key in need else None
 
-def settled_files(foot: DataFrame, rules) -> DataFrame:
-    """Files that their footers settle, with the value and count of each chunk."""
-    c = F.col
-    single = (c("load_low") == c("load_high")) & c("n_nulls").isNotNull() & ((c("n_nulls") == c("n_rows")) | ((c("low") == c("high")) & (F.length("low") < 64)))
-    fits = F.lit(True)
-    for r in rules:
-        fits = fits & F.when((c("column_name") == r.name) & c("low").isNotNull(), is_null_token(c("low")) | r.conforms(c("low"))).otherwise(True)
-    return foot.groupBy("path").agg(F.min(F.coalesce(single & fits, F.lit(False))).alias("settled"), F.collect_list(F.struct("column_name", "n_rows", "n_nulls", "low", "load_low")).alias("chunks")).where("settled")
 
+def _hashes(values: pa.Array) -> pa.Array:
+    """64-bit hashes of whole values."""
+    from pandas.util import hash_array
 
-def _same_file(uri: str) -> str:
-    """One spelling for a file that Spark names as ``file:/x``, ``file:///x`` or with escapes."""
-    return re.sub(r"^file:/+", "/", unquote(uri))
+    return pa.array(hash_array(np.array(values.to_pylist(), object), categorize=False).view(np.int64)) if len(values) else pa.array([], pa.int64())
 
 
-def _read(spark: SparkSession, path: str, rules, load: str) -> tuple[DataFrame, DataFrame | None]:
-    """(files to scan, chunks that footers settle as rows of column, load, value and weight)."""
-    foot = cut(footers(spark, path, load, [r.name for r in rules]))
-    settled = settled_files(foot, rules)
-    known = [r["path"] for r in settled.select("path").collect()]  # file names only, as the driver lists them anyway
-    df = spark.read.parquet(path)
-    if not known:
-        return df, None
-    skip = set(map(_same_file, known))
-    rest = [f for f in df.inputFiles() if _same_file(f) not in skip]
-    chunks = settled.select(F.explode("chunks").alias("k")).select("k.*")
-    parts = chunks.select("column_name", F.col("load_low").alias("load_no"), F.col("low").alias("value"), (F.col("n_rows") - F.col("n_nulls")).alias("w")).where("w > 0").unionByName(
-        chunks.select("column_name", F.col("load_low").alias("load_no"), F.lit(None).cast("string").alias("value"), F.col("n_nulls").alias("w")).where("w > 0")
-    )
-    return (spark.read.parquet(*rest) if rest else df.limit(0)), parts
-
-
-def _all_counts(df: DataFrame, parts: DataFrame | None, load: str, rules) -> DataFrame:
-    counts = _count_features(df, load, rules, F.lit(1))
-    if parts is not None:
-        for r in rules:
-            own = parts.where(F.col("column_name") == r.name).select(F.col("load_no").alias(load), F.col("value").alias(r.name), "w")
-            counts = counts.unionByName(_count_features(own, load, [r], F.col("w")))
-        counts = counts.groupBy("load_no", "column_name", "feature").agg(F.sum("n").alias("n"))
-    return counts
-
-
-def _frequent(df: DataFrame, parts: DataFrame | None, load: str, rules, share: float) -> DataFrame:
-    """Exact counts, in every load, of the values that hold ``share`` of some load; chunks that footers settle count too."""
-    text = lambda c: F.substring(c, 1, 200).alias("value")
-    long = df.select(F.col(load).cast("long").alias("load_no"), F.explode(F.array(*[F.struct(F.lit(r.name).alias("column_name"), text(F.col(r.name))) for r in rules])).alias("x")).select("load_no", "x.column_name", "x.value").where(F.col("value").isNotNull())
-    top = long.groupBy("load_no", "column_name").agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(value, {int(1 / share) + 1}, 1000)").alias("top"))
-    # at most 1/share values a load and column, so this side is bounded by the number of loads
-    cand = top.select("n", "column_name", F.explode("top").alias("t")).where(F.col("t.count") >= share * F.col("n")).select("column_name", F.col("t.item").alias("value"))
-    rows = long.withColumn("w", F.lit(1).cast("long"))
-    if parts is not None:
-        # what holds the share of a load holds it of the scanned or of the settled rows
-        own = parts.where(F.col("value").isNotNull()).select("load_no", "column_name", text(F.col("value")), "w")
-        sums = own.groupBy("load_no", "column_name", "value").agg(F.sum("w").alias("n"))
-        total = own.groupBy("load_no", "column_name").agg(F.sum("w").alias("total"))
-        cand = cand.unionByName(sums.join(total, ["load_no", "column_name"]).where(F.col("n") >= share * F.col("total")).select("column_name", "value"))
-        rows = rows.unionByName(own)
-    return rows.join(cand.distinct(), ["column_name", "value"], "left_semi").groupBy("load_no", "column_name", F.concat(F.lit("value "), "value").alias("feature")).agg(F.sum("w").alias("n"))
+def _sums(parts: list[pa.Table], by: str) -> pa.Table:
+    return pa.concat_tables(parts).group_by(["load", by]).aggregate([("n", "sum")]).rename_columns(["load", by, "n"])
+
+
+def _weighted(c: dict, load: str, key: str | None) -> Iterator[tuple[pa.Table, pa.Array, pa.Array, pa.Array, pa.Array | None]]:
+    """Per batch of a chunk: how often (load, index of value) occurs; the values; and per row loads, indices and keys."""
+    if settled(c):
+        i = pa.array([0, None], pa.int32()) if c["only"] is not None else pa.array([None], pa.int32())
+        n = [c["n_rows"] - c["n_nulls"], c["n_nulls"]] if c["only"] is not None else [c["n_rows"]]
+        t = pa.table({"load": pa.array([c["load_low"]] * len(i), pa.int64()), "i": i, "n": pa.array(n, pa.int64())})
+        yield t.filter(pc.greater(t["n"], 0)), pa.array([c["only"]] if c["only"] is not None else [], pa.string()), None, None, None
+        return
+    for loads, values, keys in _batches(c, load, key):
+        i = values.indices.cast(pa.int32())
+        t = pa.table({"load": loads, "i": i}).group_by(["load", "i"]).aggregate([([], "count_all")])
+        yield t.rename_columns(["load", "i", "n"]), values.dictionary.cast(pa.string()), loads, i, keys
+
+
+def _features(rule: ColumnRule, v: pa.Array) -> tuple[list[pa.Array], pa.Array]:
+    """Texts that name what each value is, null where nothing applies; and which values break their pattern."""
+    token = is_token(v)
+    bad = pc.and_(pc.invert(token), rule.breaks(v))
+    none = pa.scalar(None, pa.string())
+    kinds = [pc.if_else(token, none, k) for k in rule.kinds(v)]
+    return [pc.if_else(token, pa.scalar("token"), pc.if_else(bad, pa.scalar("violation"), none)), *kinds], bad
+
+
+def _scan(rules, load: str, key: str | None, share: float | None, values: bool):
+    """Map over chunks: counts of features; values that may be frequent; keys of violations; distinct values."""
+    of, schema = {r.name: r for r in rules}, _arrow(_SEEN)
+
+    def rows(what: int, name: str, load_no, feature, n, case) -> pa.RecordBatch:
+        size = len(next(x for x in (load_no, feature, n, case) if x is not None))
+        fill = lambda x, t: pa.nulls(size, t) if x is None else (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x).cast(t)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, what, np.int32)), pa.array([name] * size, pa.string()), fill(load_no, pa.int64()), fill(feature, pa.string()), fill(n, pa.int64()), fill(case, pa.int64())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in batch.to_pylist():
+                rule, counts, hashed, distinct = of[c["column_name"]], [], [], []
+                for t, v, loads, i, keys in _weighted(c, load, key):
+                    feats, bad = _features(rule, v)
+                    null = pc.if_else(pc.is_null(t["i"]), pa.scalar("null"), pa.scalar(None, pa.string()))
+                    for f in ([pa.scalar("rows")] * t.num_rows, null, *[f.take(t["i"]) for f in feats]):
+                        f = pa.array(["rows"] * t.num_rows, pa.string()) if isinstance(f, list) else f
+                        part = pa.table({"load": t["load"], "feature": f, "n": t["n"]})
+                        counts.append(part.filter(pc.is_valid(part["feature"])))
+                    if share is not None:
+                        part = pa.table({"load": t["load"], "hash": _hashes(v).take(t["i"]), "n": t["n"]})
+                        hashed.append(part.filter(pc.is_valid(part["hash"])))
+                    if values:
+                        part = pa.table({"load": t["load"], "value": pc.if_else(is_token(v), pa.scalar(None, pa.string()), v).take(t["i"]), "n": t["n"]})
+                        distinct.append(part.filter(pc.is_valid(part["value"])))
+                    if keys is not None:
+                        hit = pc.fill_null(bad.take(i), False)
+                        if pc.any(hit).as_py():
+                            yield rows(VIOLATION, rule.name, loads.filter(hit), None, None, keys.filter(hit))
+                if not counts:
+                    continue
+                total = _sums(counts, "feature")
+                yield rows(COUNT, rule.name, total["load"], total["feature"], total["n"], None)
+                if share is not None:
+                    of_load = {r["load"]: r["n"] for r in total.filter(pc.equal(total["feature"], "rows")).to_pylist()}
+                    t = _sums(hashed, "hash")
+                    least = pa.array([of_load[x] * share / 2 for x in t["load"].to_pylist()], pa.float64())
+                    t = t.filter(pc.greater_equal(t["n"].cast(pa.float64()), least))
+                    if t.num_rows:
+                        yield rows(FREQUENT, rule.name, t["load"], t["hash"].cast(pa.string()), t["n"], None)
+                if values:
+                    t = _sums(distinct, "value")
+                    if t.num_rows:
+                        yield rows(VALUE, rule.name, t["load"], t["value"], t["n"], None)
+
+    return run
+
+
+def _count_values(wanted, rules, load: str):
+    """Map over chunks: exact counts of the values whose hashes are wanted (a broadcast: column -> sorted hashes)."""
+    schema = _arrow("column_name string, load_no long, feature string, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in batch.to_pylist():
+                mine, parts = pa.array(wanted.value.get(c["column_name"], []), pa.int64()), []
+                if not len(mine) or (c["n_nulls"] is not None and c["n_nulls"] == c["n_rows"]):
+                    continue
+                for t, v, *_ in _weighted(c, load, None):
+                    h = _hashes(v)
+                    part = pa.table({"load": t["load"], "hash": pc.if_else(pc.is_in(h, value_set=mine), h, pa.scalar(None, pa.int64())).take(t["i"]), "n": t["n"]})
+                    parts.append(part.filter(pc.is_valid(part["hash"])))
+                t = _sums(parts, "hash") if parts else None
+                if t is not None and t.num_rows:
+                    names = _named("value ", t["hash"].combine_chunks().cast(pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array([c["column_name"]] * t.num_rows), t["load"].combine_chunks(), names, t["n"].combine_chunks()], schema=schema)
+
+    return run
+
+
+def _chunks(spark: SparkSession, path: str, rules, load: str) -> DataFrame:
+    """The column chunks with what footers and dictionaries say, spread over the cluster."""
+    foot = cut(footers(spark, path, load, [r.name for r in rules], dictionaries=True, rules=tuple(rules)).select(*_CHUNKS))
+    return foot.repartition(max(1, foot.count()))
+
+
+def frequent_values(seen: DataFrame, chunks: DataFrame, load: str, rules, share: float) -> DataFrame:
+    """Exact counts, in every load, of the values that may hold ``share`` of some load.
+
+    What the chunks name adds up to half of ``share`` for such a value, so at most ``2 / share`` values a load and
+    column are collected, 8 bytes each: the bound is a matter of the number of loads, not of rows.
+    """
+    spark = chunks.sparkSession
+    by = ["column_name", F.coalesce(F.col("load_no").cast("string"), F.lit("")).alias("at")]
+    total = seen.where((F.col("what") == COUNT) & (F.col("feature") == "rows")).groupBy(*by).agg(F.sum("n").alias("total"))
+    cand = seen.where(F.col("what") == FREQUENT).groupBy(*by, "feature").agg(F.sum("n").alias("n")).join(total, ["column_name", "at"]).where(F.col("n") >= share / 2 * F.col("total"))
+    wanted: dict[str, list[int]] = {}
+    for r in cand.select("column_name", "feature").distinct().collect():
+        wanted.setdefault(r["column_name"], []).append(int(r["feature"]))
+    found = chunks.mapInArrow(_count_values(spark.sparkContext.broadcast({k: sorted(v) for k, v in wanted.items()}), rules, load), "column_name string, load_no long, feature string, n long")
+    return found.groupBy("load_no", "column_name", "feature").agg(F.sum("n").alias("n"))
 
 
 def drifts(counts: DataFrame, min_shift: float = MIN_SHIFT, z: float = 3.0, wobble: float = 0.2, chances: float = 5.0) -> DataFrame:
@@ -216,45 +335,35 @@ def drifts(counts: DataFrame, min_shift: float = MIN_SHIFT, z: float = 3.0, wobb
     return d.where((shift >= min_shift) & (shift >= chances * F.sqrt(chance)) & (F.col("score") >= z)).select("column_name", "load_no", "feature", "share", "usual", "score")
 
 
-def violations(df: DataFrame, key: str, rules) -> DataFrame:
-    """(column_name, case_key) of values that are neither null nor a null token and break the pattern."""
-    hits = F.array_compact(F.array(*[F.when(F.col(r.name).isNotNull() & ~is_null_token(F.col(r.name)) & ~r.conforms(F.col(r.name)), F.lit(r.name)) for r in rules]))
-    return df.select(F.explode(hits).alias("column_name"), F.col(key).cast("long").alias("case_key"))
-
-
 def find_cases(spark: SparkSession, path: str, key: str, load: str, rules=PACKAGE_RULES) -> DataFrame:
     """``case_kind, column_name, case_key``: violating rows and drifting loads of the columns of ``rules``.
 
     ``path`` holds parquet files with ``key``, ``load`` and the rules' columns; others are not read. Null and
     empty values are counted as nulls and tokens and never violate. Rows with a null load form a load of their
-    own that is no case. Repeated rows count each. Very long texts are checked whole; for frequent single values
-    their first 200 characters tell them apart. Empty tables, and tables with a single load, give no drift.
+    own that is no case. Repeated rows count each. Values are judged whole, however long. Empty tables, and tables with
+    a single load, give no drift.
     """
-    df, parts = _read(spark, path, rules, load)
-    counts = cut(_all_counts(df, parts, load, rules).unionByName(_frequent(df, parts, load, rules, MIN_SHIFT)))  # a few rows per load
+    chunks = _chunks(spark, path, rules, load)
+    seen = cut(chunks.mapInArrow(_scan(rules, load, key, MIN_SHIFT, False), _SEEN))
+    counts = seen.where(F.col("what") == COUNT).groupBy("load_no", "column_name", "feature").agg(F.sum("n").alias("n"))
+    counts = cut(counts.unionByName(frequent_values(seen, chunks, load, rules, MIN_SHIFT)))  # a few rows per load
     drift = drifts(counts).where(F.col("load_no").isNotNull()).select(F.lit("drift").alias("case_kind"), "column_name", F.col("load_no").alias("case_key")).distinct()
-    bad = violations(df, key, rules).select(F.lit("violation").alias("case_kind"), "column_name", "case_key")
-    return bad.unionByName(drift)
+    return seen.where(F.col("what") == VIOLATION).select(F.lit("violation").alias("case_kind"), "column_name", "case_key").unionByName(drift)
 
 
 def profile(spark: SparkSession, path: str, load: str, rules=PACKAGE_RULES) -> DataFrame:
     """Per column and load: rows, nulls, tokens, violations, distinct values, extrema, all exact.
 
-    Cases as in ``find_cases``; extrema and distinct values leave out nulls and null tokens. Equal values of a load
-    are counted together before the shuffle, and then judged once.
+    Cases as in ``find_cases``; extrema and distinct values leave out nulls and null tokens. Settled chunks are not
+    read; of the others each task puts out its distinct values once per load.
     """
-    df = spark.read.parquet(path)
-    each = F.array(*[F.struct(F.lit(r.name).alias("column_name"), F.col(r.name).alias("value")) for r in rules])
-    d = df.select(F.col(load).alias("load_no"), F.explode(each).alias("x")).groupBy("load_no", "x.column_name", "x.value").agg(F.count(F.lit(1)).alias("n"))
-    token = F.coalesce(is_null_token(F.col("value")), F.lit(False))
-    bad = F.lit(False)
-    for r in rules:
-        bad = F.when(F.col("column_name") == r.name, ~r.conforms(F.col("value"))).otherwise(bad)
-    d = d.withColumn("text", F.when(F.col("value").isNotNull() & ~token, F.col("value"))).withColumn("bad", F.col("text").isNotNull() & F.coalesce(bad, F.lit(False)))
-    of = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0))
+    seen = _chunks(spark, path, rules, load).mapInArrow(_scan(rules, load, None, None, True), _SEEN)
+    d = seen.groupBy("column_name", "load_no", "what", "feature").agg(F.sum("n").alias("n"))
+    of = lambda name: F.coalesce(F.sum(F.when((F.col("what") == COUNT) & (F.col("feature") == name), F.col("n"))), F.lit(0))
+    text = F.when(F.col("what") == VALUE, F.col("feature"))
     return d.groupBy("column_name", "load_no").agg(
-        F.sum("n").alias("n_rows"), of(F.col("value").isNull()).alias("n_nulls"), of(token).alias("n_tokens"), of(F.col("bad")).alias("n_violations"),
-        F.count("text").alias("n_distinct"), F.min("text").alias("low"), F.max("text").alias("high"),
+        of("rows").alias("n_rows"), of("null").alias("n_nulls"), of("token").alias("n_tokens"), of("violation").alias("n_violations"),
+        F.count(text).alias("n_distinct"), F.min(text).alias("low"), F.max(text).alias("high"),
     )
 
 
@@ -268,7 +377,6 @@ def scan_chunks(chunks: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
         import pyarrow.fs as fs
         import pyarrow.parquet as pq
 
@@ -280,7 +388,7 @@ def scan_chunks(chunks: DataFrame) -> DataFrame:
                         v = part.column(0).cast(pa.string())
                         ends = pc.min_max(v).as_py()
                         row = {"column_name": name, "n_rows": len(v), "n_nulls": v.null_count, "low": ends["min"], "high": ends["max"], "candidates": pc.unique(v.drop_null()).to_pylist()}
-                        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("column_name", pa.string()), ("n_rows", pa.int64()), ("n_nulls", pa.int64()), ("low", pa.string()), ("high", pa.string()), ("candidates", pa.list_(pa.string()))]))
+                        yield pa.RecordBatch.from_pylist([row], schema=_arrow(_CHUNK))
 
     n = min(chunks.count(), 8 * chunks.sparkSession.sparkContext.defaultParallelism)
     return chunks.select("path", "row_group", "column_name").repartition(max(1, n), "path", "row_group", "column_name").mapInArrow(read, _CHUNK)

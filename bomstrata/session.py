@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +26,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one, as in tests, gets a
-    temporary folder.
+    The folder is the session's ``spark.checkpoint.dir``. A local session without one, as in tests, gets a temporary
+    folder; on a cluster, where executors do not share the driver's disk, its absence is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bomstrata-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set; it has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="bomstrata-"))
     return df.checkpoint(eager=True)

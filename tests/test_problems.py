@@ -245,15 +245,43 @@ def test_footers_settle_without_a_scan(spark, loads):
     assert (whole["n_rows"], whole["n_nulls"], whole["n_distinct"], whole["n_unsettled"]) == (3200, 0, 393, 0)
 
 
-def test_settled_files_are_not_scanned(spark, tmp_path):
+def test_settled_chunks_are_not_scanned(spark, tmp_path, monkeypatch):
     for i, v in enumerate(["1.0.1", None, "1.0.2"]):
         pq.write_table(pa.table({"id": [i * 10, i * 10 + 1], "load_no": pa.array([1, 1], pa.int32()), "version_info": pa.array([v, v], pa.string()), "purl": pa.array(["pkg:a/b"] * 2), "supplier": pa.array([None, None], pa.string())}), tmp_path / f"{i}.parquet")
-    df, parts = profile._read(spark, str(tmp_path), profile.PACKAGE_RULES, "load_no")
-    assert df.count() == 0
-    counts = {(r["column_name"], r["feature"]): r["n"] for r in profile._all_counts(df, parts, "load_no", profile.PACKAGE_RULES).collect()}
+    chunks = [r.asDict() for r in profile._chunks(spark, str(tmp_path), profile.PACKAGE_RULES, "load_no").collect()]
+    assert len(chunks) == 9 and all(profile.settled(c) for c in chunks)
+    for f in tmp_path.iterdir():
+        f.unlink()  # nothing is read again
+    batch = pa.RecordBatch.from_pylist(chunks)
+    counts = {}
+    for b in profile._scan(profile.PACKAGE_RULES, "load_no", "id", 0.02, False)(iter([batch])):
+        for r in b.to_pylist():
+            if r["what"] == profile.COUNT:
+                counts[(r["column_name"], r["feature"])] = counts.get((r["column_name"], r["feature"]), 0) + r["n"]
     assert counts[("version_info", "rows")] == 6 and counts[("version_info", "null")] == 2 and counts[("supplier", "null")] == 6
 
 
+def test_only_open_chunks_of_a_row_group_are_scanned(spark, tmp_path):
+    # one row group: purl is settled by its dictionary, version_info is open, supplier breaks its pattern
+    n = 100
+    t = pa.table({"id": list(range(n)), "load_no": pa.array([3] * n, pa.int32()), "version_info": [f"1.{i}.0" for i in range(n)], "purl": ["pkg:npm/a@1"] * n, "supplier": ["nobody"] * n})
+    pq.write_table(t, tmp_path / "t.parquet")
+    by = {r["column_name"]: r.asDict() for r in profile._chunks(spark, str(tmp_path), profile.PACKAGE_RULES, "load_no").collect()}
+    assert {k: profile.settled(c) for k, c in by.items()} == {"purl": True, "version_info": False, "supplier": False}
+    assert (by["version_info"]["clean"], by["supplier"]["clean"]) == (True, False)
+    got = profile.find_cases(spark, str(tmp_path), "id", "load_no").collect()
+    assert {tuple(r) for r in got} == {("violation", "supplier", i) for i in range(n)}
+
+
+def test_values_are_told_apart_beyond_any_prefix(spark, tmp_path):
+    # two values that share their first 300 characters; one of them drifts in load 6
+    a, b = "Organization: " + "x" * 300 + "a", "Organization: " + "x" * 300 + "b"
+    rows = [(load * 1000 + i, load, "1.0.0", "pkg:npm/a@1", a if (i % 2 if load != 6 else i % 10) else b) for load in range(1, 10) for i in range(400)]
+    c = list(zip(*rows))
+    pq.write_table(pa.table({"id": c[0], "load_no": pa.array(c[1], pa.int32()), "version_info": c[2], "purl": c[3], "supplier": c[4]}), tmp_path / "t.parquet")
+    assert [tuple(r) for r in profile.find_cases(spark, str(tmp_path), "id", "load_no").collect()] == [("drift", "supplier", 6)]
+
+
 def test_drift_sees_falls_and_large_shares(spark):
     # null: 8 % falls to none; token: 40 % falls to none; kind: 70 % rises to all; other: 30 % rises to 55 %; calm: wobbles by a fifth
     usual = {"null": 0.08, "token": 0.4, "kind": 0.7, "other": 0.3, "calm": 0.3}
@@ -297,7 +325,7 @@ def test_profile_counts_distinct_values_exactly(spark, tmp_path):
             assert (r["n_rows"], r["n_nulls"], r["n_tokens"], r["n_violations"], r["n_distinct"], r["low"], r["high"]) == (9000, values.count(None), values.count("n/a"), 0, len(known), min(known), max(known))
 
 
-def test_a_settled_file_of_one_value_drifts_like_scanned_rows(spark, tmp_path):
+def test_a_settled_chunk_of_one_value_drifts_like_scanned_rows(spark, tmp_path):
     # load 8 has only 'Organization: X' and is settled by its footer; elsewhere each supplier is another
     def table(load, supplier):
         n = len(supplier)
@@ -306,7 +334,7 @@ def test_a_settled_file_of_one_value_drifts_like_scanned_rows(spark, tmp_path):
     loads = [table(i, [f"Organization: X{j}" for j in range(500)]) for i in range(1, 8)] + [table(8, ["Organization: X"] * 500)]
     for i, t in enumerate(loads):
         pq.write_table(t, tmp_path / f"{i}.parquet")
-    df, parts = profile._read(spark, str(tmp_path), profile.PACKAGE_RULES, "load_no")
-    assert df.count() == 3500 and parts is not None
+    chunks = [r.asDict() for r in profile._chunks(spark, str(tmp_path), profile.PACKAGE_RULES, "load_no").collect()]
+    assert sum(not profile.settled(c) for c in chunks) == 7
     got = [tuple(r) for r in profile.find_cases(spark, str(tmp_path), "id", "load_no").collect()]
     assert got == [("drift", "supplier", 8)]
