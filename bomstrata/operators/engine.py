@@ -1,8 +1,9 @@
 """Profiles evaluated over a corpus: findings, verdicts, and reports.
 
-A corpus is a star of DataFrames (``Corpus``). All rules of a scope become one array column that is exploded, so
-each table is scanned once for any number of rules and profiles, without a join per rule. Only what belongs to a
-whole document (versions, signature, the dependency graph) is aggregated first and joined by document.
+A corpus is a star of DataFrames (``Corpus``). The checks of all rules of all profiles are SQL texts; equal texts are
+one check, whichever rules and profiles ask for it. Each table is scanned once: a target's checks become one array of
+failures, which is exploded over the literal table of the rules that each check serves. What belongs to a whole
+document (versions, signature, the dependency graph) is aggregated first, one row per document, and written once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from bomstrata.operators import licenses
 from bomstrata.operators.profiles import Profile, ProfileError, Rule
-from bomstrata.operators.validators import REGISTRY, Value, chain
+from bomstrata.operators.validators import REGISTRY, Value, chain, lit, load_plugins
+from bomstrata.session import cut
 
 SCALARS = {
     "document": ("name", "namespace", "timestamp", "sbom_version", "supplier", "data_license", "signed", "sbom_format", "spec_version"),
@@ -47,19 +49,23 @@ def identity(*names: str) -> Column:
 
 
 def context(c: Corpus) -> DataFrame:
-    """One row per document with what its targets may need: ``doc_id`` and ``CONTEXT``."""
-    parts = c.components.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_components"), F.max(F.exists("external_refs", lambda x: F.lower(x).contains("vex") | F.lower(x).contains("vulnerability"))).alias("vex_ref"))
-    files = c.files.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_files"))
+    """One row per document with what its targets may need: ``doc_id`` and ``CONTEXT``.
+
+    A component is an orphan if it has a reference or a purl and neither is in the dependency graph; one pass over the
+    components finds that, together with their number and their vulnerability references.
+    """
     refs = c.edges.select("doc_id", F.explode(F.array("src", "dst")).alias("ref")).where(F.col("ref").isNotNull()).distinct()
     n_refs = refs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_refs"))
-    lone = c.components.where((F.coalesce("bom_ref", F.lit("")) != "") | (F.coalesce("purl", F.lit("")) != "")).select("doc_id", "bom_ref", "purl")
-    lone = lone.join(refs.withColumnRenamed("ref", "bom_ref"), ["doc_id", "bom_ref"], "left_anti").join(refs.withColumnRenamed("ref", "purl"), ["doc_id", "purl"], "left_anti")
-    n_orphans = lone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_orphans"))
+    known = lambda name: refs.select("doc_id", F.col("ref").alias(name), F.lit(True).alias(f"{name}_known"))
+    k = c.components.select("doc_id", "bom_ref", "purl", F.exists("external_refs", lambda x: F.lower(x).contains("vex") | F.lower(x).contains("vulnerability")).alias("vex_ref"))
+    k = k.join(known("bom_ref"), ["doc_id", "bom_ref"], "left").join(known("purl"), ["doc_id", "purl"], "left")
+    named = (F.coalesce("bom_ref", F.lit("")) != "") | (F.coalesce("purl", F.lit("")) != "")
+    parts = k.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_components"), F.max("vex_ref").alias("vex_ref"), F.count_if(named & F.col("bom_ref_known").isNull() & F.col("purl_known").isNull()).alias("n_orphans"))
+    files = c.files.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_files"))
     d = c.documents
-    for x in (parts, files, n_refs, n_orphans):
+    for x in (parts, files, n_refs):
         d = d.join(x, "doc_id", "left")
-    chunks = F.filter(F.split("spec_version", r"\."), lambda x: x != "")
-    numbers = F.transform(chunks, lambda x: x.try_cast("int"))
+    numbers = F.transform(F.filter(F.split("spec_version", r"\."), lambda x: x != ""), lambda x: x.try_cast("int"))
     stop = F.array_position(F.transform(numbers, lambda x: x.isNull()), True)
     zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
     own = F.lower(F.coalesce("raw", F.lit("")))
@@ -70,63 +76,81 @@ def context(c: Corpus) -> DataFrame:
 
 
 def _value(scope: str, name: str) -> Value:
-    if name in SCALARS.get(scope, ()):
-        return Value("scalar", F.col(name))
-    if name in LISTS.get(scope, ()):
-        return Value("list", F.col(name))
-    if name in MAPS.get(scope, ()):
-        return Value("map", F.col(name))
-    if "." in name or name:
-        return Value("scalar", F.get_json_object("raw", "$." + name)) if scope in ("document", "component", "file") else Value("none", F.lit(None).cast("string"))
-    return Value("none", F.lit(None).cast("string"))
-
-
-def _contextual(scope: str) -> dict[str, Column]:
-    ctx = {n: F.col(f"_c.{n}") for n in CONTEXT}
-    none = F.lit(None)
-    ctx["hashes"] = F.col("hashes") if scope in ("component", "file") else none.cast("map<string,string>")
-    ctx["license_declarations"] = F.col("license_declarations") if scope == "component" else none.cast("array<struct<raw:string,source:string,normalized:string,method:string>>")
-    ok = F.filter(ctx["license_declarations"], lambda d: d["normalized"].isNotNull())
-    ctx["valid_expressions"] = F.coalesce(F.concat(F.transform(ok, lambda d: d["normalized"]), F.transform(ok, lambda d: d["raw"])), F.array().cast("array<string>"))
+    for kind, fields in (("scalar", SCALARS), ("list", LISTS), ("map", MAPS)):
+        if name in fields.get(scope, ()):
+            return Value(kind, f"`{name}`")
+    return Value("scalar", f"get_json_object(raw, {lit('$.' + name)})") if name and scope != "dependency" else Value("none")
+
+
+def _contextual(scope: str) -> dict[str, str]:
+    ctx = {n: f"_c.{n}" for n in CONTEXT}
+    own = scope == "component"
+    ctx["hashes"] = "hashes" if scope in ("component", "file") else "CAST(NULL AS MAP<STRING, STRING>)"
+    ctx["license_declarations"] = "license_declarations" if own else "CAST(NULL AS ARRAY<STRUCT<raw: STRING, source: STRING, normalized: STRING, method: STRING>>)"
+    ok = f"filter({ctx['license_declarations']}, d_ -> d_.normalized IS NOT NULL)"
+    ctx["valid_expressions"] = f"coalesce(concat(transform({ok}, d_ -> d_.normalized), transform({ok}, d_ -> d_.raw)), CAST(array() AS ARRAY<STRING>))"
     return ctx
 
 
-def _outcome(rule: Rule, scope: str) -> tuple[Column, Column]:
-    """(reason or null, whether data is there) of a rule; of several fields the first with a value counts."""
-    values = [_value(scope, f) for f in rule.fields] or [Value("none", F.lit(None).cast("string"))]
+@dataclass(frozen=True)
+class Check:
+    """SQL of the reason (null: passed) and of whether data is there."""
+
+    reason: str
+    there: str = "true"
+
+
+def compile_check(rule: Rule, scope: str) -> Check:
+    """Of several fields the first with a value counts."""
+    values = [_value(scope, f) for f in rule.fields] or [Value("none")]
     ctx = _contextual(scope)
     reason, there = chain(values[-1], ctx, rule.validators), values[-1].has_value()
     for v in reversed(values[:-1]):
-        has = v.has_value()
-        reason, there = F.when(has, chain(v, ctx, rule.validators)).otherwise(reason), F.when(has, True).otherwise(there)
-    return reason, there
+        reason, there = f"IF({v.has_value()}, {chain(v, ctx, rule.validators)}, {reason})", f"({v.has_value()} OR {there})"
+    return Check(reason, there)
 
 
-def _finding(rule_id: str, layer: str, severity: str, category: str | None, verdict: Column, citation: str | None, path: Column, message: Column, profile: str, order: int) -> Column:
-    lit = lambda x: F.lit(x).cast("string")
-    return F.struct(
-        F.lit(profile).alias("profile"), F.lit(order).alias("ord"), lit(rule_id).alias("rule_id"), lit(layer).alias("layer"), lit(severity).alias("severity"), lit(category).alias("category"),
-        verdict.alias("verdict"), lit(citation).alias("citation"), path.alias("path"), message.alias("message"),
-    )
+_RULE = ("profile", "ord", "rule_id", "layer", "severity", "category", "citation", "path")
 
 
-def _rule_finding(rule: Rule, scope: str, path: Column, profile: str, order: int) -> Column:
-    reason, there = _outcome(rule, scope)
-    bad = {"MUST": F.lit("FAIL"), "MUST_WHERE_AVAILABLE": F.when(there, "FAIL").otherwise("WARN")}.get(rule.severity, F.lit("WARN"))
-    return _finding(rule.id, rule.layer, rule.severity, rule.category, F.when(reason.isNull(), "PASS").otherwise(bad), rule.citation, path, F.coalesce(reason, F.lit("ok")), profile, order)
+class Plan:
+    """Distinct checks of one scope, and the rules that each of them serves."""
 
+    def __init__(self) -> None:
+        self.checks: dict[Check, int] = {}
+        self.rules: list[list[str]] = []
 
-def _exploded(df: DataFrame, structs: list[Column], pos: Column) -> DataFrame:
-    return df.select("doc_id", pos.alias("pos"), F.explode(F.array(*structs)).alias("x")).select("doc_id", "pos", "x.*")
+    def add(self, check: Check, *rule) -> None:
+        at = self.checks.setdefault(check, len(self.checks))
+        if at == len(self.rules):
+            self.rules.append([])
+        self.rules[at].append(self.literal(*rule))
 
+    @staticmethod
+    def literal(*rule) -> str:
+        return "named_struct(" + ", ".join(f"'{n}', {lit(x)}" for n, x in zip(_RULE, rule)) + ")"
 
-def findings(c: Corpus, profiles: list[Profile], policy: licenses.Policy | None = None, tables: licenses.LicenseTables | None = None) -> DataFrame:
-    """All findings of all profiles: ``doc_id, pos, profile, ord, rule_id, layer, severity, category, verdict, citation,
-    path, message``.
+    def over(self, df: DataFrame, passing: bool) -> DataFrame:
+        """The findings on the targets of ``df`` (doc_id, pos, path); without ``passing`` only what did not pass."""
+        each = ", ".join(f"named_struct('k', {k}, 'reason', {c.reason}, 'there', coalesce({c.there}, false))" for c, k in self.checks.items())
+        rules = f"array({', '.join(f'array({chr(44).join(r)})' for r in self.rules)})"
+        seen = f"array({each})" if passing else f"filter(array({each}), f_ -> f_.reason IS NOT NULL)"
+        d = df.select("doc_id", "pos", "at", F.expr(f"explode({seen})").alias("f"))
+        d = d.select("doc_id", "pos", "at", "f", F.expr(f"explode(element_at({rules}, f.k + 1))").alias("r"))
+        bad = "CASE r.severity WHEN 'MUST' THEN 'FAIL' WHEN 'MUST_WHERE_AVAILABLE' THEN IF(f.there, 'FAIL', 'WARN') ELSE 'WARN' END"
+        return d.select(
+            "doc_id", "pos", "r.profile", "r.ord", "r.rule_id", "r.layer", "r.severity", "r.category", F.expr(f"IF(f.reason IS NULL, 'PASS', {bad})").alias("verdict"), "r.citation",
+            F.coalesce("r.path", "at").alias("path"), F.coalesce("f.reason", F.lit("ok")).alias("message"),
+        )
 
-    A withdrawn profile, an unknown validator or engine is refused before any job. Documents without components or
-    files get one warning per rule of that scope. Null fields count as absent. Repeated rows are targets each.
-    """
+
+def _without_targets(docs: DataFrame, rules: list[str], message: str) -> DataFrame:
+    d = docs.select("doc_id", F.lit(-1).cast("long").alias("pos"), F.expr(f"explode(array({', '.join(rules)}))").alias("r"))
+    return d.select("doc_id", "pos", "r.profile", "r.ord", "r.rule_id", "r.layer", "r.severity", "r.category", F.lit("WARN").alias("verdict"), "r.citation", "r.path", F.lit(message).alias("message"))
+
+
+def _refuse(profiles: list[Profile], policy: licenses.Policy | None) -> None:
+    load_plugins()
     for p in profiles:
         if p.withdrawn:
             raise ProfileError(f"profile {p.id!r} is withdrawn: {p.withdrawn}")
@@ -136,48 +160,57 @@ def findings(c: Corpus, profiles: list[Profile], policy: licenses.Policy | None
             for name, _ in r.validators:
                 if name not in REGISTRY:
                     raise ProfileError(f"profile {p.id!r}, rule {r.id!r}: unknown validator {name!r}")
-    ctx = context(c).select("doc_id", F.struct(*CONTEXT).alias("_c"))
-    docs = c.documents.join(ctx, "doc_id")
-    out: list[DataFrame] = []
-    whole, part, empty, filed, unfiled = [], [], [], [], []
-    ctx_cols = {n: F.col(f"_c.{n}") for n in CONTEXT}
-    where = F.concat(F.lit("components["), F.col("pos").cast("string"), F.lit("]:"), F.col("identity"))
-    where_file = F.concat(F.lit("files["), F.col("pos").cast("string"), F.lit("]:"), F.col("identity"))
-    warn = F.lit("WARN")
-    none = Value("none", F.lit(None).cast("string"))
+
+
+def _gate(p: Profile) -> list[tuple]:
+    """What a profile asks of the document's format: (id, category, check, citation, path)."""
+    none, ctx = Value("none"), {n: f"_c.{n}" for n in CONTEXT}
+    asked = [
+        (True, "schema-valid", "Accuracy", "nullif(array_join(slice(schema_errors, 1, 3), '; '), '')", "structural validation", "document"),
+        (p.min_versions, "schema-min-version", "Freshness", REGISTRY["format_version_at_least"](none, ctx, {"min_versions": p.min_versions}), "profile.schema.min_versions", "document.specVersion"),
+        (p.deprecated_forbidden, "schema-version-not-deprecated", "Freshness", REGISTRY["format_version_not_deprecated"](none, ctx, {"deprecated_versions": p.retired()}), "profile.schema.deprecated_versions_forbidden", "document.specVersion"),
+        (p.require_signature, "schema-require-signature", "Provenance", REGISTRY["signed_with_x509"](none, ctx, {}), "profile.schema.require_signature", "document.signature"),
+    ]
+    return [(rid, cat, Check(sql), cite, path) for on, rid, cat, sql, cite, path in asked if on]
+
+
+def findings(c: Corpus, profiles: list[Profile], policy: licenses.Policy | None = None, tables: licenses.LicenseTables | None = None, passing: bool = True) -> DataFrame:
+    """All findings of all profiles: ``doc_id, pos, profile, ord, rule_id, layer, severity, category, verdict, citation,
+    path, message``; with ``passing`` false, components and files that pass are left out before any row is made of them.
+
+    A withdrawn profile, an unknown validator or engine is refused before any job. Documents without components or
+    files get one warning per rule of that scope; targets of no document give nothing. Null fields count as absent.
+    Repeated rows are targets each.
+    """
+    _refuse(profiles, policy)
+    plans = {"document": Plan(), "component": Plan(), "file": Plan()}
+    missing: dict[str, list[str]] = {"component": [], "file": []}
     for p in profiles:
-        errors = F.coalesce("schema_errors", F.array().cast("array<string>"))
-        whole.append(_finding("schema-valid", "schema", "MUST", "Accuracy", F.when(F.size(errors) == 0, "PASS").otherwise("FAIL"), "structural validation", F.lit("document"), F.when(F.size(errors) == 0, "ok").otherwise(F.array_join(F.slice(errors, 1, 3), "; ")), p.id, 0))
-        gate = []
-        if p.min_versions:
-            gate.append(("schema-min-version", "Freshness", REGISTRY["format_version_at_least"](none, ctx_cols, {"min_versions": p.min_versions}), "profile.schema.min_versions", "document.specVersion"))
-        if p.deprecated_forbidden:
-            gate.append(("schema-version-not-deprecated", "Freshness", REGISTRY["format_version_not_deprecated"](none, ctx_cols, {"deprecated_versions": p.retired()}), "profile.schema.deprecated_versions_forbidden", "document.specVersion"))
-        if p.require_signature:
-            gate.append(("schema-require-signature", "Provenance", REGISTRY["signed_with_x509"](none, ctx_cols, {}), "profile.schema.require_signature", "document.signature"))
-        for k, (rid, cat, reason, cite, path) in enumerate(gate):
-            whole.append(_finding(rid, "schema", "MUST", cat, F.when(reason.isNull(), "PASS").otherwise("FAIL"), cite, F.lit(path), F.coalesce(reason, F.lit("ok")), p.id, 1 + k))
-        for k, r in enumerate(p.rules):
-            n = 10 + k
-            if r.scope in ("document", "dependency"):
-                whole.append(_rule_finding(r, r.scope, F.lit("document" if r.scope == "document" else "dependencies"), p.id, n))
-            elif r.scope == "component":
-                part.append(_rule_finding(r, "component", where, p.id, n))
-                empty.append(_finding(r.id, r.layer, r.severity, r.category, warn, r.citation, F.lit("components"), F.lit("no components in SBOM"), p.id, n))
+        for k, (rid, cat, check, cite, path) in enumerate(_gate(p)):
+            plans["document"].add(check, p.id, k, rid, "schema", "MUST", cat, cite, path)
+        for k, r in enumerate(p.rules, 10):
+            info = (p.id, k, r.id, r.layer, r.severity, r.category, r.citation)
+            if r.scope in missing:
+                plans[r.scope].add(compile_check(r, r.scope), *info, None)
+                missing[r.scope].append(Plan.literal(*info, f"{r.scope}s"))
             else:
-                filed.append(_rule_finding(r, "file", where_file, p.id, n))
-                unfiled.append(_finding(r.id, r.layer, r.severity, r.category, warn, r.citation, F.lit("files"), F.lit("no file inventory in SBOM"), p.id, n))
-    no_pos = F.lit(-1).cast("long")
-    out.append(_exploded(docs, whole, no_pos))
-    if part:
-        out.append(_exploded(c.components.withColumn("identity", identity("purl", "cpe", "name@version", "bom_ref")).join(ctx, "doc_id"), part, F.col("pos").cast("long")))
-        out.append(_exploded(docs.where(F.col("_c.n_components") == 0), empty, no_pos))
-    if filed:
-        out.append(_exploded(c.files.withColumn("identity", identity("name", "spdx_id")).join(ctx, "doc_id"), filed, F.col("pos").cast("long")))
-        out.append(_exploded(docs.where(F.col("_c.n_files") == 0), unfiled, no_pos))
-    for p in profiles:
-        if p.engine or p.overrides:
-            out.append(_license_findings(c, p, policy, tables))
+                plans["document"].add(compile_check(r, r.scope), *info, "dependencies" if r.scope == "dependency" else "document")
+    docs = cut(c.documents.join(context(c).select("doc_id", F.struct(*CONTEXT).alias("_c")), "doc_id"))  # a row per document, used by each part
+    ids = docs.select("doc_id").distinct()
+    out = [plans["document"].over(docs.select("*", F.lit(-1).cast("long").alias("pos"), F.lit("document").alias("at")), True)]
+    for scope, table, none in (("component", c.components, "no components in SBOM"), ("file", c.files, "no file inventory in SBOM")):
+        plan = plans[scope]
+        if not plan.checks:
+            continue
+        label = identity("purl", "cpe", "name@version", "bom_ref") if scope == "component" else identity("name", "spdx_id")
+        t = table.withColumns({"pos": F.col("pos").cast("long"), "identity": label})
+        t = t.withColumn("at", F.concat(F.lit(f"{scope}s["), F.col("pos").cast("string"), F.lit("]:"), "identity"))
+        if any("_c." in x.reason for x in plan.checks):
+            out.append(plan.over(t.join(docs.select("doc_id", "_c").dropDuplicates(["doc_id"]), "doc_id"), passing))
+        else:
+            out.append(plan.over(t, passing).join(ids, "doc_id", "left_semi"))
+        out.append(_without_targets(docs.where(F.col(f"_c.n_{scope}s") == 0), missing[scope], none))
+    out += [_license_findings(c, p, policy, tables) for p in profiles if p.engine or p.overrides]
     result = out[0]
     for x in out[1:]:
         result = result.unionByName(x)

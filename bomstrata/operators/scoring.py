@@ -27,7 +27,7 @@ def signals(c: Corpus) -> DataFrame:
     lic = F.when(F.size(F.coalesce("licenses", F.array().cast("array<string>"))) > 0, F.array_join("licenses", "; "))
     decl = F.coalesce("license_declarations", F.array().cast("array<struct<raw:string,source:string,normalized:string,method:string>>"))
     hashed = F.size(F.coalesce("hashes", F.create_map().cast("map<string,string>"))) > 0
-    fine = hash_wellformed(Value("map", F.col("hashes")), {}, {}).isNull()
+    fine = F.expr(hash_wellformed(Value("map", "hashes"), {}, {})).isNull()
     purl = F.nullif(F.col("purl"), F.lit(""))
     part = k.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(~token(F.col("version"))).alias("versions"), F.count_if(F.coalesce(is_purl(purl), F.lit(False))).alias("purls"), F.count_if(hashed & fine).alias("hashes"),
@@ -51,7 +51,7 @@ def signals(c: Corpus) -> DataFrame:
         _ratio(z("resolved"), z("decl")).alias("license_normalization"), F.when((F.col("n_components") == 0) | ((F.col("n_refs") > 0) & (F.col("n_orphans") == 0)), 1.0).otherwise(0.0).alias("dependency_completeness"),
         F.when(z("n_purls") > 0, 1.0 - F.col("n_differ") / F.col("n_purls")).otherwise(1.0).alias("supplier_consistency"), _ratio(z("usual"), z("n_hashed")).alias("hash_consistency"),
         (some("tools") | some("creators")).alias("has_tool"), ((F.coalesce("supplier", F.lit("")) != "") | F.coalesce("any_supplier", F.lit(False))).alias("has_supplier"), F.coalesce("signed", F.lit(False)).alias("signed"),
-        F.col("vex").alias("references_vex"), ((F.coalesce("timestamp", F.lit("")) != "") & rfc3339_reason(F.col("timestamp")).isNull()).alias("timestamp_ok"), current.alias("version_current"),
+        F.col("vex").alias("references_vex"), ((F.coalesce("timestamp", F.lit("")) != "") & F.expr(rfc3339_reason("timestamp")).isNull()).alias("timestamp_ok"), current.alias("version_current"),
     )
 
 

@@ -1,8 +1,9 @@
-"""The validator library as column expressions.
+"""The validator library as SQL expressions.
 
-Each validator turns a value (``Value``: a scalar, list or map column), the context columns and its parameters
-into one text column: null where the value passes, else the reason. Chains become one ``coalesce``, so the first
-failure wins and everything stays inside generated code. Names and parameters are checked on the driver.
+Each validator turns a value (``Value``: a scalar, list or map), the context and its parameters into the text of one
+SQL expression: null where the value passes, else the reason. Chains become one ``coalesce``, so the first failure
+wins and everything stays inside generated code. Text is cheap to build, and equal checks of several profiles are equal
+texts, so each is compiled once (``engine``). Names and parameters are checked on the driver.
 """
 
 from __future__ import annotations
@@ -11,13 +12,9 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from bomstrata.functions.patterns import is_placeholder, is_purl, is_semver_or_calver
-from bomstrata.functions.text import is_null_token, strip
+from bomstrata.functions import patterns
+from bomstrata.functions.text import NULL_TOKENS, WHITESPACE
 from bomstrata.operators.profiles import ProfileError
-from bomstrata.operators.timestamps import days_from_civil
 
 #: Hex digits of a digest by algorithm.
 DIGEST_LENGTHS = {"md5": 32, "sha1": 40, "sha256": 64, "sha384": 96, "sha512": 128, "sha3256": 64, "sha3384": 96, "sha3512": 128, "blake2b256": 64, "blake2b384": 96, "blake2b512": 128, "blake3": 64}
@@ -25,231 +22,276 @@ _ATTRIBUTE = r"(?:(?:\?*|\*?)(?:[a-zA-Z0-9\-._]|\\[\\*?!\"#$%&'()+,/:;<=>@\[\]^`
 #: The two bindings of CPE names, after the public grammar.
 CPE_23 = rf"\Acpe:2\.3:[aho*\-](?::{_ATTRIBUTE}){{5}}:(?:[a-zA-Z]{{2,3}}(?:-(?:[a-zA-Z]{{2}}|[0-9]{{3}}))?|[*\-])(?::{_ATTRIBUTE}){{4}}\z"
 CPE_22 = r"(?i)\Acpe:/[aho]?(?::[a-z0-9._\-~%]*){0,6}\z"
+_TEXTS = "ARRAY<STRING>"
+_DECLARATIONS = "ARRAY<STRUCT<raw: STRING, source: STRING, normalized: STRING, method: STRING>>"
+
+
+def lit(text) -> str:
+    """A value as a SQL literal."""
+    if text is None:
+        return "CAST(NULL AS STRING)"
+    if isinstance(text, bool):
+        return str(text).lower()
+    if isinstance(text, int):
+        return str(text)
+    out = "".join("\\" + c if c in "\\'" else c if 32 <= ord(c) < 127 else f"\\u{ord(c):04X}" if ord(c) < 65536 else f"\\U{ord(c):08X}" for c in str(text))
+    return f"'{out}'"
+
+
+def concat(*parts: str) -> str:
+    return f"concat({', '.join(parts)})"
+
+
+def strip(x: str) -> str:
+    return f"trim(BOTH {lit(WHITESPACE)} FROM {x})"
+
+
+def is_token(x: str) -> str:
+    return f"(lower({strip(x)}) IN ({', '.join(map(lit, NULL_TOKENS))}))"
+
+
+def matches(x: str, pattern: str) -> str:
+    return f"({x} RLIKE {lit(pattern)})"
+
+
+def case(*branches: tuple[str, str], default: str = "CAST(NULL AS STRING)") -> str:
+    return "CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in branches) + f" ELSE {default} END"
 
 
 @dataclass(frozen=True)
 class Value:
-    """A field of a target. ``kind``: scalar, list, map or none; ``col``: its column."""
+    """A field of a target. ``kind``: scalar, list, map or none; ``sql``: its expression."""
 
     kind: str
-    col: Column
+    sql: str = "CAST(NULL AS STRING)"
+
+    @property
+    def text(self) -> str:
+        return f"CAST({self.sql} AS STRING)"
 
-    def items(self) -> Column:
+    def items(self) -> str:
         """The value as a list of texts; a map gives its values."""
-        empty = F.array().cast("array<string>")
+        empty = f"CAST(array() AS {_TEXTS})"
         if self.kind == "scalar":
-            return F.when(self.col.isNull(), empty).otherwise(F.array(self.col.cast("string")))
+            return f"IF({self.sql} IS NULL, {empty}, array({self.text}))"
         if self.kind == "list":
-            return F.coalesce(self.col, empty)
-        if self.kind == "map":
-            return F.coalesce(F.map_values(self.col), empty)
-        return empty
+            return f"coalesce({self.sql}, {empty})"
+        return f"coalesce(map_values({self.sql}), {empty})" if self.kind == "map" else empty
 
-    def has_value(self) -> Column:
+    def absent(self) -> str:
+        if self.kind == "scalar":
+            return f"({self.sql} IS NULL)"
+        return f"(size({self.items()}) = 0)"
+
+    def has_value(self) -> str:
         """Something to act on: not empty, and not only null tokens."""
         if self.kind == "scalar":
-            return F.coalesce(self.col.isNotNull() & ~is_null_token(self.col.cast("string")), F.lit(False))
-        return (F.size(self.items()) > 0) & ~F.forall(self.items(), lambda x: F.coalesce(is_null_token(x), F.lit(False)))
+            return f"({self.sql} IS NOT NULL AND NOT {is_token(self.text)})"
+        return f"(size({self.items()}) > 0 AND NOT forall({self.items()}, t_ -> coalesce({is_token('t_')}, false)))"
 
 
-def quoted(c: Column) -> Column:
+def quoted(x: str) -> str:
     """A text as a quoted literal."""
-    t = F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t")), F.lit("\r"), F.lit("\\r"))
-    return F.when(t.contains("'") & ~t.contains('"'), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'")))
+    t = x
+    for a, b in (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        t = f"replace({t}, {lit(a)}, {lit(b)})"
+    one, two = lit("'"), lit('"')
+    shown = case((f"contains(q_, {one}) AND NOT contains(q_, {two})", concat(two, "q_", two)), default=concat(one, f"replace(q_, {one}, {lit(chr(92) + chr(39))})", one))
+    return f"get(transform(array({t}), q_ -> {shown}), 0)"
 
 
-def _first(value: Value, reason: Callable[[Column], Column]) -> Column:
+def _first(value: Value, reason: Callable[[str], str]) -> str:
     """The reason of the first item that has one."""
     if value.kind == "scalar":
-        return F.when(value.col.isNotNull(), reason(value.col.cast("string")))
-    return F.get(F.array_compact(F.transform(value.items(), reason)), F.lit(0))
+        return case((f"{value.sql} IS NOT NULL", reason(value.text)))
+    return f"get(array_compact(transform({value.items()}, x_ -> {reason('x_')})), 0)"
 
 
-def _each(value: Value, ok: Callable[[Column], Column], text: str) -> Column:
-    return _first(value, lambda x: F.when(~F.coalesce(ok(x), F.lit(False)), F.concat(quoted(x), F.lit(text))))
+def _each(value: Value, ok: Callable[[str], str], text: str) -> str:
+    return _first(value, lambda x: case((f"NOT coalesce({ok(x)}, false)", concat(quoted(x), lit(text)))))
 
 
-def present(v: Value, ctx: dict, p: dict) -> Column:
-    return F.when(F.size(v.items()) == 0, "field is absent or empty").when(~v.has_value(), "field is present but NOASSERTION/NONE/empty")
+def present(v: Value, ctx: dict, p: dict) -> str:
+    return case((v.absent(), lit("field is absent or empty")), (f"NOT {v.has_value()}", lit("field is present but NOASSERTION/NONE/empty")))
 
 
-def non_placeholder(v: Value, ctx: dict, p: dict) -> Column:
-    return _first(v, lambda x: F.when(is_placeholder(x), F.concat(F.lit("placeholder value: "), quoted(x))))
+def non_placeholder(v: Value, ctx: dict, p: dict) -> str:
+    return _first(v, lambda x: case((matches(x, patterns.PLACEHOLDER), concat(lit("placeholder value: "), quoted(x)))))
 
 
-def format_regex(v: Value, ctx: dict, p: dict) -> Column:
+def format_regex(v: Value, ctx: dict, p: dict) -> str:
     pattern = p.get("pattern")
     if not pattern:
-        return F.lit("format_regex requires a 'pattern'")
-    return _each(v, lambda x: x.rlike(pattern), f" does not match /{pattern}/")
+        return lit("format_regex requires a 'pattern'")
+    return _each(v, lambda x: matches(x, pattern), f" does not match /{pattern}/")
+
 
+_DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_TIME = r"[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?"
+_REAL_DAY = (
+    r"(?!0000)(?:[0-9]{4}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))"
+    r"|(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)-02-29)"
+)
 
-_DATE_TIME = r"\A([0-9]{4})-([0-9]{2})-([0-9]{2})[Tt ]([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.[0-9]+)?"
 
+def _leap_second(s: str) -> str:
+    """Whether a text that ends in second 60 names the last minute of a month in UTC."""
+    num = lambda a, n: f"CAST(substr({s}, {a}, {n}) AS INT)"
+    zone = f"IF(lower(right({s}, 1)) = 'z', 0, IF(substr({s}, -6, 1) = '-', -1, 1) * (CAST(substr({s}, -5, 2) AS INT) * 60 + CAST(right({s}, 2) AS INT)))"
+    at = f"timestampadd(MINUTE, -({zone}), try_make_timestamp_ntz({num(1, 4)}, {num(6, 2)}, {num(9, 2)}, {num(12, 2)}, {num(15, 2)}, 0))"
+    ends = "year(u_) BETWEEN 1 AND 9999 AND to_date(u_) < DATE'9999-12-31' AND hour(u_) = 23 AND minute(u_) = 59 AND dayofmonth(date_add(to_date(u_), 1)) = 1"
+    return f"coalesce(get(transform(array({at}), u_ -> {ends}), 0), false)"
 
-def rfc3339_reason(x: Column) -> Column:
+
+def rfc3339_reason(x: str) -> str:
     """Why a text is no RFC 3339 date and time with an offset; null if it is one."""
     s = strip(x)
-    full = _DATE_TIME + r"(?:[Zz]|([+-])([0-9]{2}):([0-9]{2}))\z"
-    g = lambda i: F.regexp_extract(s, full, i).try_cast("int")
-    y, mo, d, h, mi, sec = (g(i) for i in range(1, 7))
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    length = lambda yy, mm, lp: F.when(mm == 2, F.when(lp, 29).otherwise(28)).when(mm.isin(4, 6, 9, 11), 30).otherwise(31)
-    oh, om = F.coalesce(g(8), F.lit(0)), F.coalesce(g(9), F.lit(0))
-    offset = F.when(F.regexp_extract(s, full, 7) == "-", -(oh * 60 + om)).otherwise(oh * 60 + om)
-    minutes = days_from_civil(y, mo, d) * 1440 + h * 60 + mi - offset
-    day = F.floor(minutes / 1440).cast("int")
-    next_day = F.date_from_unix_date(day + 1)
-    ends = (F.dayofmonth(next_day) == 1) & (day >= -719162) & (day + 1 <= 2932896)
-    say = lambda t: F.concat(quoted(x), F.lit(t))
-    return (
-        F.when(~s.rlike(full), F.when(s.rlike(_DATE_TIME + r"\z"), say(" lacks a UTC/timezone designator")).otherwise(say(" is not an RFC 3339 timestamp")))
-        .when((h > 23) | (mi > 59) | (sec > 60), say(" is not a real time"))
-        .when((y < 1) | (mo < 1) | (mo > 12) | (d < 1) | (d > length(y, mo, leap)), say(" is not a real date"))
-        .when((oh > 23) | (om > 59), say(" has an out-of-range UTC offset"))
-        .when((sec == 60) & ~((F.pmod(minutes, F.lit(1440)) == 1439) & ends), say(" puts a leap second somewhere other than the last minute of a UTC month"))
+    say = lambda t: concat(quoted(x), lit(t))
+    return case(
+        (f"NOT {matches(s, rf'\A{_DAY}{_TIME}(?:[Zz]|[+-][0-9]{{2}}:[0-9]{{2}})\z')}", case((matches(s, rf"\A{_DAY}{_TIME}\z"), say(" lacks a UTC/timezone designator")), default=say(" is not an RFC 3339 timestamp"))),
+        (f"NOT {matches(s, r'\A.{11}(?:[01][0-9]|2[0-3]):[0-5][0-9]:(?:[0-5][0-9]|60)')}", say(" is not a real time")),
+        (f"NOT {matches(s, rf'\A{_REAL_DAY}')}", say(" is not a real date")),
+        (f"NOT {matches(s, r'(?:[Zz]|[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])\z')}", say(" has an out-of-range UTC offset")),
+        (f"substr({s}, 18, 2) = '60' AND NOT {_leap_second(s)}", say(" puts a leap second somewhere other than the last minute of a UTC month")),
     )
 
 
-def rfc3339_utc(v: Value, ctx: dict, p: dict) -> Column:
+def rfc3339_utc(v: Value, ctx: dict, p: dict) -> str:
     return _first(v, rfc3339_reason)
 
 
-def _declarations(ctx: dict) -> Column:
-    return F.coalesce(ctx["license_declarations"], F.array().cast("array<struct<raw:string,source:string,normalized:string,method:string>>"))
+def _declarations(ctx: dict) -> str:
+    return f"coalesce({ctx['license_declarations']}, CAST(array() AS {_DECLARATIONS}))"
 
 
-def spdx_license_expression(v: Value, ctx: dict, p: dict) -> Column:
-    valid = ctx["valid_expressions"]  # list of the target's licence texts that are expressions
-    return _first(v, lambda x: F.when(~is_null_token(x) & ~F.array_contains(valid, x), F.concat(quoted(x), F.lit(" is not a valid SPDX license expression"))))
+def spdx_license_expression(v: Value, ctx: dict, p: dict) -> str:
+    known = ctx["valid_expressions"]  # the target's licence texts that are expressions
+    return _first(v, lambda x: case((f"NOT {is_token(x)} AND NOT array_contains({known}, {x})", concat(quoted(x), lit(" is not a valid SPDX license expression")))))
 
 
-def license_spdx_normalized(v: Value, ctx: dict, p: dict) -> Column:
-    where = lambda d: F.concat(quoted(d["raw"]), F.lit(" (declared in the "), quoted(d["source"]), F.lit(" field)"))
-    from bomstrata.operators.licenses import AMBIGUOUS, descriptive_key_column
+def _some(reasons: str) -> str:
+    """The first three of a list of reasons, or null."""
+    return f"nullif(array_join(slice({reasons}, 1, 3), '; '), '')"
 
-    meant = F.create_map(*[F.lit(x) for kv in AMBIGUOUS.items() for x in kv])
 
-    def reason(d: Column) -> Column:
-        unknown = d["method"] == "declared-unknown"
-        said = F.when(unknown, F.lit(None).cast("string")) if p.get("allow_declared_unknown", True) else F.when(unknown, F.concat(quoted(d["raw"]), F.lit(" is an explicit unknown")))
-        return F.when(d["normalized"].isNull(), F.when(unknown, said).when(
-            d["method"] == "ambiguous",
-            F.concat(where(d), F.lit(" names a licence but not an SPDX identifier: it does not say whether later versions are permitted, so it could be "), F.coalesce(F.try_element_at(meant, descriptive_key_column(d["raw"])), F.lit("?"))),
-        ).otherwise(F.concat(where(d), F.lit(" does not resolve to an SPDX license"))))
+def license_spdx_normalized(v: Value, ctx: dict, p: dict) -> str:
+    from bomstrata.operators.licenses import AMBIGUOUS, prose_key_sql
 
-    problems = F.array_compact(F.transform(_declarations(ctx), reason))
-    return F.when(F.size(problems) > 0, F.array_join(F.slice(problems, 1, 3), "; "))
+    where = concat(quoted("d_.raw"), lit(" (declared in the "), quoted("d_.source"), lit(" field)"))
+    meant = f"map({', '.join(lit(x) for kv in AMBIGUOUS.items() for x in kv)})"
+    unknown = lit(None) if p.get("allow_declared_unknown", True) else concat(quoted("d_.raw"), lit(" is an explicit unknown"))
+    reason = case(
+        ("d_.normalized IS NOT NULL", lit(None)), ("d_.method = 'declared-unknown'", unknown),
+        ("d_.method = 'ambiguous'", concat(where, lit(" names a licence but not an SPDX identifier: it does not say whether later versions are permitted, so it could be "), f"coalesce(try_element_at({meant}, {prose_key_sql('d_.raw')}), '?')")),
+        default=concat(where, lit(" does not resolve to an SPDX license")),
+    )
+    return _some(f"array_compact(transform({_declarations(ctx)}, d_ -> {reason}))")
 
 
-def license_in_spdx_field(v: Value, ctx: dict, p: dict) -> Column:
-    bad = F.filter(_declarations(ctx), lambda d: (d["source"] == "name") & d["method"].isin("spdx-expression", "case-corrected"))
-    text = F.transform(bad, lambda d: F.concat(quoted(d["raw"]), F.lit(" is valid SPDX but was declared in the free-text 'name' field rather than 'expression'")))
-    return F.when(F.size(bad) > 0, F.array_join(F.slice(text, 1, 3), "; "))
+def license_in_spdx_field(v: Value, ctx: dict, p: dict) -> str:
+    bad = f"filter({_declarations(ctx)}, d_ -> d_.source = 'name' AND d_.method IN ('spdx-expression', 'case-corrected'))"
+    return _some(f"transform({bad}, d_ -> {concat(quoted('d_.raw'), lit(' is valid SPDX but was declared in the free-text ' + repr('name') + ' field rather than ' + repr('expression')))})")
 
 
-def purl_wellformed(v: Value, ctx: dict, p: dict) -> Column:
-    return _each(v, lambda x: (x == "") | is_purl(x), " is not a well-formed PURL")
+def _purl_reason(x: str) -> str:
+    return case((f"NOT {matches(x, patterns.PURL)}", concat(quoted(x), lit(" is not a well-formed PURL"))))
 
 
-def _cpe_reason(x: Column) -> Column:
+def purl_wellformed(v: Value, ctx: dict, p: dict) -> str:
+    return _first(v, lambda x: case((f"{x} <> ''", _purl_reason(x))))
+
+
+def _cpe_reason(x: str) -> str:
     s = strip(x)
-    parts = F.size(F.split(F.regexp_replace(s, r"\\.", ""), ":"))
-    return F.when(x == "", None).when(
-        s.startswith("cpe:2.3:"),
-        F.when(~s.rlike(CPE_23), F.when(parts != 13, F.concat(quoted(x), F.lit(" is not a well-formed CPE 2.3 name: expected 13 colon-separated components, found "), parts.cast("string"))).otherwise(F.concat(quoted(x), F.lit(" is not a well-formed CPE 2.3 name (NIST IR 7695 §6.2.2)")))),
-    ).when(F.lower(s).startswith("cpe:/"), F.when(~s.rlike(CPE_22), F.concat(quoted(x), F.lit(" is not a well-formed CPE 2.2 URI (NIST IR 7695 §6.1)")))).otherwise(F.concat(quoted(x), F.lit(" is not a CPE name (expected a 'cpe:2.3:' or 'cpe:/' prefix)")))
+    parts = f"size(split(regexp_replace({s}, {lit(r'\\.')}, ''), ':'))"
+    say = lambda *t: concat(quoted(x), *t)
+    new = case((f"{parts} <> 13", say(lit(" is not a well-formed CPE 2.3 name: expected 13 colon-separated components, found "), parts)), default=say(lit(" is not a well-formed CPE 2.3 name (NIST IR 7695 §6.2.2)")))
+    return case(
+        (f"{x} = ''", lit(None)), (matches(s, CPE_23), lit(None)), (f"startswith({s}, 'cpe:2.3:')", new), (matches(s, CPE_22), lit(None)),
+        (f"startswith(lower({s}), 'cpe:/')", say(lit(" is not a well-formed CPE 2.2 URI (NIST IR 7695 §6.1)"))), default=say(lit(" is not a CPE name (expected a 'cpe:2.3:' or 'cpe:/' prefix)")),
+    )
 
 
-def cpe_wellformed(v: Value, ctx: dict, p: dict) -> Column:
+def cpe_wellformed(v: Value, ctx: dict, p: dict) -> str:
     return _first(v, _cpe_reason)
 
 
-def component_identifier(v: Value, ctx: dict, p: dict) -> Column:
-    def reason(x: Column) -> Column:
-        low = F.lower(strip(x))
-        return F.when(x == "", None).when(low.startswith("cpe:"), _cpe_reason(x)).when(low.startswith("pkg:"), F.when(~is_purl(x), F.concat(quoted(x), F.lit(" is not a well-formed PURL")))).otherwise(
-            F.concat(quoted(x), F.lit(" is neither a purl (expected a 'pkg:' prefix) nor a CPE name (expected 'cpe:')")))
+def component_identifier(v: Value, ctx: dict, p: dict) -> str:
+    def reason(x: str) -> str:
+        starts = lambda t: f"startswith(lower({strip(x)}), '{t}')"
+        return case((f"{x} = ''", lit(None)), (starts("cpe:"), _cpe_reason(x)), (starts("pkg:"), _purl_reason(x)), default=concat(quoted(x), lit(" is neither a purl (expected a 'pkg:' prefix) nor a CPE name (expected 'cpe:')")))
 
     return _first(v, reason)
 
 
-def semver_or_calver(v: Value, ctx: dict, p: dict) -> Column:
-    return _each(v, is_semver_or_calver, " is neither SemVer nor CalVer")
+def semver_or_calver(v: Value, ctx: dict, p: dict) -> str:
+    return _each(v, lambda x: matches(strip(x), patterns.VERSION), " is neither SemVer nor CalVer")
 
 
-def _algorithm(c: Column) -> Column:
-    return F.lower(F.translate(c, "-_", ""))
+def _algorithm(x: str) -> str:
+    return f"lower(translate({x}, '-_', ''))"
 
 
-def _hashes(v: Value, ctx: dict) -> Column:
-    return F.coalesce(v.col if v.kind == "map" else ctx["hashes"], F.create_map().cast("map<string,string>"))
+def _hashes(v: Value, ctx: dict) -> str:
+    return f"coalesce({v.sql if v.kind == 'map' else ctx['hashes']}, CAST(map() AS MAP<STRING, STRING>))"
 
 
-def hash_algorithm_in_set(v: Value, ctx: dict, p: dict) -> Column:
-    algs = [str(a) for a in p.get("algs", [])]
-    keys = F.map_keys(_hashes(v, ctx))
-    none = F.when(F.size(keys) == 0, "no hashes present")
-    if not algs:
-        return none
-    allowed = F.array(*[F.lit(re.sub("[-_]", "", a).lower()) for a in algs])
-    have = F.concat(F.lit("['"), F.array_join(F.array_sort(keys), "', '"), F.lit("']"))
-    return none.when(~F.arrays_overlap(F.transform(keys, _algorithm), allowed), F.concat(F.lit(f"no hash in required set {sorted(algs)} (have "), have, F.lit(")")))
+def hash_algorithm_in_set(v: Value, ctx: dict, p: dict) -> str:
+    algs, keys = [str(a) for a in p.get("algs", [])], f"map_keys({_hashes(v, ctx)})"
+    branches = [(f"size({keys}) = 0", lit("no hashes present"))]
+    if algs:
+        allowed = f"array({', '.join(lit(re.sub('[-_]', '', a).lower()) for a in algs)})"
+        have = concat(lit("['"), f"array_join(array_sort({keys}), {lit(chr(39) + ', ' + chr(39))})", lit("']"))
+        branches.append((f"NOT arrays_overlap(transform({keys}, a_ -> {_algorithm('a_')}), {allowed})", concat(lit(f"no hash in required set {sorted(algs)} (have "), have, lit(")"))))
+    return case(*branches)
 
 
-def hash_wellformed(v: Value, ctx: dict, p: dict) -> Column:
-    lengths = F.create_map(*[F.lit(x) for kv in DIGEST_LENGTHS.items() for x in kv])
-
-    def reason(e: Column) -> Column:
-        text, want = strip(F.coalesce(e["value"], F.lit("None"))), F.try_element_at(lengths, _algorithm(e["key"]))
-        return F.when(text == "", F.concat(e["key"], F.lit(": empty digest"))).when(~text.rlike(r"\A[a-fA-F0-9]+\z"), F.concat(e["key"], F.lit(": digest is not hexadecimal ("), quoted(F.substring(text, 1, 16)), F.lit(")"))).when(
-            want.isNotNull() & (F.length(text) != want), F.concat(e["key"], F.lit(": digest is "), F.length(text).cast("string"), F.lit(" hex chars, expected "), want.cast("string"), F.lit(" for "), e["key"]))
-
-    return F.get(F.array_compact(F.transform(F.map_entries(_hashes(v, ctx)), reason)), F.lit(0))
+def hash_wellformed(v: Value, ctx: dict, p: dict) -> str:
+    text, want = strip("coalesce(e_.value, 'None')"), f"try_element_at(map({', '.join(lit(x) for kv in DIGEST_LENGTHS.items() for x in kv)}), {_algorithm('e_.key')})"
+    reason = case(
+        (f"{text} = ''", concat("e_.key", lit(": empty digest"))), (f"NOT {matches(text, r'\A[a-fA-F0-9]+\z')}", concat("e_.key", lit(": digest is not hexadecimal ("), quoted(f"substr({text}, 1, 16)"), lit(")"))),
+        (f"length({text}) <> {want}", concat("e_.key", lit(": digest is "), f"length({text})", lit(" hex chars, expected "), want, lit(" for "), "e_.key")),
+    )
+    return f"get(array_compact(transform(map_entries({_hashes(v, ctx)}), e_ -> {reason})), 0)"
 
 
-def format_version_at_least(v: Value, ctx: dict, p: dict) -> Column:
-    out = F.lit(None).cast("string")
-    for fmt, least in (p.get("min_versions") or {}).items():
-        if least:
-            want = F.array(*[F.lit(int(x)) for x in re.findall(r"\d+", str(least))])
-            out = F.when((ctx["sbom_format"] == fmt) & (ctx["version_tuple"] < want), F.concat(F.lit(f"{fmt} "), ctx["spec_version"], F.lit(f" is below required minimum {least}"))).otherwise(out)
-    return out
+def format_version_at_least(v: Value, ctx: dict, p: dict) -> str:
+    return case(
+        *[(f"{ctx['sbom_format']} = {lit(fmt)} AND {ctx['version_tuple']} < array({', '.join(re.findall(r'[0-9]+', str(least)))})", concat(lit(f"{fmt} "), ctx["spec_version"], lit(f" is below required minimum {least}"))) for fmt, least in (p.get("min_versions") or {}).items() if least],
+        ("false", lit(None)),
+    )
 
 
-def format_version_not_deprecated(v: Value, ctx: dict, p: dict) -> Column:
-    out = F.lit(None).cast("string")
-    for fmt, retired in (p.get("deprecated_versions") or {}).items():
-        if retired:
-            names = [str(x) for x in retired]
-            out = F.when((ctx["sbom_format"] == fmt) & ctx["spec_version"].isin(*names), F.concat(F.lit(f"{fmt} "), ctx["spec_version"], F.lit(f" is deprecated (retired versions: {', '.join(names)})"))).otherwise(out)
-    return out
+def format_version_not_deprecated(v: Value, ctx: dict, p: dict) -> str:
+    old = {fmt: [str(x) for x in retired] for fmt, retired in (p.get("deprecated_versions") or {}).items() if retired}
+    return case(
+        *[(f"{ctx['sbom_format']} = {lit(fmt)} AND {ctx['spec_version']} IN ({', '.join(map(lit, names))})", concat(lit(f"{fmt} "), ctx["spec_version"], lit(f" is deprecated (retired versions: {', '.join(names)})"))) for fmt, names in old.items()],
+        ("false", lit(None)),
+    )
 
 
-def references_vex(v: Value, ctx: dict, p: dict) -> Column:
-    return F.when(~ctx["vex"], "no VEX / vulnerability reference found")
+def references_vex(v: Value, ctx: dict, p: dict) -> str:
+    return case((f"NOT {ctx['vex']}", lit("no VEX / vulnerability reference found")))
 
 
-def signed_with_x509(v: Value, ctx: dict, p: dict) -> Column:
-    return F.when(~ctx["signed"], "SBOM is not signed")
+def signed_with_x509(v: Value, ctx: dict, p: dict) -> str:
+    return case((f"NOT {ctx['signed']}", lit("SBOM is not signed")))
 
 
-def dependency_completeness(v: Value, ctx: dict, p: dict) -> Column:
-    return F.when(ctx["n_components"] == 0, None).when(ctx["n_refs"] == 0, "no dependency relationships declared").when(ctx["n_orphans"] > 0, F.concat(ctx["n_orphans"].cast("string"), F.lit(" component(s) absent from the dependency graph")))
+def dependency_completeness(v: Value, ctx: dict, p: dict) -> str:
+    return case((f"{ctx['n_components']} = 0", lit(None)), (f"{ctx['n_refs']} = 0", lit("no dependency relationships declared")), (f"{ctx['n_orphans']} > 0", concat(ctx["n_orphans"], lit(" component(s) absent from the dependency graph"))))
 
 
-def known_unknowns_declared(v: Value, ctx: dict, p: dict) -> Column:
-    return F.when(v.col.isNull() if v.kind != "none" else F.lit(True), "silent gap: field missing with no explicit NOASSERTION/NONE")
+def known_unknowns_declared(v: Value, ctx: dict, p: dict) -> str:
+    return case((f"{v.sql} IS NULL", lit("silent gap: field missing with no explicit NOASSERTION/NONE")))
 
 
-def declared(v: Value, ctx: dict, p: dict) -> Column:
-    if v.kind == "none":
-        return F.lit("silent gap: no value and no explicit NOASSERTION/NONE")
-    silent = v.col.isNull() | (v.col.cast("string") == "") if v.kind == "scalar" else F.size(v.items()) == 0
-    return F.when(silent, "silent gap: no value and no explicit NOASSERTION/NONE")
+def declared(v: Value, ctx: dict, p: dict) -> str:
+    silent = f"({v.sql} IS NULL OR {v.text} = '')" if v.kind == "scalar" else v.absent()
+    return case((silent, lit("silent gap: no value and no explicit NOASSERTION/NONE")))
 
 
-REGISTRY: dict[str, Callable[[Value, dict, dict], Column]] = {
+REGISTRY: dict[str, Callable[[Value, dict, dict], str]] = {
     f.__name__: f
     for f in (
         present, non_placeholder, format_regex, rfc3339_utc, spdx_license_expression, license_spdx_normalized, license_in_spdx_field, purl_wellformed, cpe_wellformed, component_identifier,
@@ -258,8 +300,10 @@ REGISTRY: dict[str, Callable[[Value, dict, dict], Column]] = {
 }
 
 
-def register(name: str, validator: Callable[[Value, dict, dict], Column]) -> None:
-    """Add a validator: a function of value, context columns and parameters to a reason column."""
+def register(name: str, validator: Callable[[Value, dict, dict], str] | None = None):
+    """Add a validator: a function of value, context and parameters to the SQL of a reason. Also a decorator."""
+    if validator is None:
+        return lambda f: register(name, f) or f
     REGISTRY[name] = validator
 
 
@@ -267,25 +311,29 @@ def available() -> list[str]:
     return sorted(REGISTRY)
 
 
+_LOADED: dict[str, list[str]] = {}
+
+
 def load_plugins(group: str = "bomstrata.validators") -> list[str]:
-    """Load validators that other packages offer as entry points; one that fails is left out."""
+    """Load, once, the validators that other packages offer as entry points; one that fails is left out."""
     from importlib.metadata import entry_points
 
-    loaded = []
-    for e in entry_points(group=group):
-        try:
-            e.load()(register)
-            loaded.append(e.name)
-        except Exception:  # noqa: BLE001, S112 - foreign code must not end the host
-            continue
-    return loaded
+    if group not in _LOADED:
+        _LOADED[group] = []
+        for e in entry_points(group=group):
+            try:
+                e.load()(register)
+                _LOADED[group].append(e.name)
+            except Exception:  # noqa: BLE001, S112 - foreign code must not end the host
+                continue
+    return _LOADED[group]
 
 
-def chain(v: Value, ctx: dict, specs: tuple[tuple[str, dict], ...]) -> Column:
+def chain(v: Value, ctx: dict, specs: tuple[tuple[str, dict], ...]) -> str:
     """Null if every validator passes, else ``name: reason`` of the first that fails."""
     reasons = []
     for name, params in specs:
         if name not in REGISTRY:
             raise ProfileError(f"unknown validator {name!r} (known: {', '.join(available())})")
-        reasons.append(F.concat(F.lit(f"{name}: "), REGISTRY[name](v, ctx, params)))
-    return F.coalesce(*reasons, F.lit(None).cast("string"))
+        reasons.append(concat(lit(f"{name}: "), REGISTRY[name](v, ctx, params)))
+    return f"coalesce({', '.join([*reasons, lit(None)])})"

@@ -22,7 +22,7 @@ def validate_stream(spark: SparkSession, source: str, sink: str, names: list[str
 
     def batch(df: DataFrame, number: int) -> None:
         named = df.withColumn("doc_id", F.xxhash64("path"))
-        result = verdicts(findings(read(named, "doc_id", "text"), chosen)).withColumn("batch", F.lit(number))
+        result = verdicts(findings(read(named, "doc_id", "text"), chosen, passing=False)).withColumn("batch", F.lit(number))
         result.join(named.select("doc_id", "path"), "doc_id").write.mode("append").parquet(sink)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

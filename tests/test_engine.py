@@ -16,7 +16,7 @@ from bomstrata.sources.documents import read, tag_value
 def _reasons(spark, validator, values, kind="scalar", params=None, ctx=None):
     ddl = {"scalar": "string", "list": "array<string>", "map": "map<string,string>"}[kind]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {ddl}")
-    return [r["r"] for r in df.select("i", REGISTRY[validator](Value(kind, F.col("v")), ctx or {}, params or {}).alias("r")).orderBy("i").collect()]
+    return [r["r"] for r in df.select("i", F.expr(REGISTRY[validator](Value(kind, "v"), ctx or {}, params or {})).alias("r")).orderBy("i").collect()]
 
 
 def test_present_and_declared(spark):
