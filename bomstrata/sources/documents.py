@@ -41,30 +41,71 @@ _DDL = (
 )
 
 
-def _obj(x) -> dict:
-    return x if isinstance(x, dict) else {}
+def nodes(x, path: str) -> list:
+    """All values at a path of member names; ``[]`` after a name steps into its list. Members of other types give nothing."""
+    level = [x]
+    for step in path.split("."):
+        name = step.removesuffix("[]")
+        level = [n[name] for n in level if isinstance(n, dict) and name in n]
+        if step != name:
+            level = [y for n in level if isinstance(n, list) for y in n]
+    return level
 
 
-def _seq(x) -> list:
-    return x if isinstance(x, list) else []
+def objects(x, path: str) -> list[dict]:
+    return [n for n in nodes(x, path) if isinstance(n, dict)]
 
 
-def _text(x) -> str | None:
-    """Scalars as text; containers are no text."""
+def plain(x) -> str | None:
+    """A scalar as text; containers are no text."""
     return None if x is None or isinstance(x, (dict, list)) else x if isinstance(x, str) else str(x)
 
 
-def _dump(x) -> str:
-    return json.dumps(x, ensure_ascii=False)
+def text(x, *paths: str) -> str | None:
+    """The text at a path; of several paths the first that is not empty."""
+    found = [plain(n) for p in paths for n in nodes(x, p)[:1]]
+    return next((t for t in found if t), found[0] if len(paths) == 1 and found else None)
 
 
-def _digests(entries, key: str, value: str) -> dict[str, str]:
-    out = {}
-    for h in _seq(entries):
-        alg, v = _obj(h).get(key), _text(_obj(h).get(value))
-        if isinstance(alg, str) and v and v.strip():
-            out[alg.lower()] = v
-    return out
+def texts(x, path: str) -> list[str]:
+    return [t for n in nodes(x, path) if (t := plain(n))]
+
+
+def fields(x, where: dict[str, str]) -> dict[str, str | None]:
+    return {name: text(x, path) for name, path in where.items()}
+
+
+def dump(x, without: tuple[str, ...] = ()) -> str:
+    return json.dumps({k: v for k, v in x.items() if k not in without} if without else x, ensure_ascii=False)
+
+
+#: Where each column of the corpus stands in the formats.
+CDX_DOCUMENT = {"name": "metadata.component.name", "namespace": "serialNumber", "timestamp": "metadata.timestamp", "sbom_version": "version", "supplier": "metadata.supplier.name"}
+CDX_COMPONENT = {"bom_ref": "bom-ref", "name": "name", "version": "version", "type": "type", "purl": "purl", "cpe": "cpe", "supplier": "supplier.name", "author": "author", "publisher": "publisher"}
+CDX_FILE = {"spdx_id": "bom-ref", "name": "name", "copyright": "copyright"}
+SPDX_DOCUMENT = {"name": "name", "namespace": "documentNamespace", "timestamp": "creationInfo.created", "data_license": "dataLicense"}
+SPDX_PACKAGE = {"bom_ref": "SPDXID", "name": "name", "version": "versionInfo", "supplier": "supplier", "author": "originator"}
+SPDX_FILE = {"spdx_id": "SPDXID", "name": "fileName", "copyright": "copyrightText"}
+#: Licence slots of a CycloneDX entry, in order, and their names.
+CDX_LICENSE = (("expression", "expression"), ("license.id", "license.id"), ("license.name", "name"))
+#: Relationships that are edges of the dependency graph, and ends that are none.
+EDGES, NO_END = ("DEPENDS_ON", "DESCRIBES", "CONTAINS"), ("NONE", "NOASSERTION")
+
+
+def digests(entries: list, alg: str, value: str) -> dict[str, str]:
+    named = ((e.get(alg), text(e, value)) for e in entries if isinstance(e, dict))
+    return {a.lower(): v for a, v in named if isinstance(a, str) and v and v.strip()}
+
+
+def _file_nodes(tops: list) -> Iterator[dict]:
+    """Components of type file on all levels, in order of the text."""
+    todo = list(reversed(tops))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, dict):
+            if (text(node, "type") or "").lower() == "file":
+                yield node
+            todo.extend(reversed(nodes(node, "components[]")))
 
 
 class Reader:
@@ -77,132 +118,92 @@ class Reader:
         n, m = self.resolve(raw)
         return {"raw": raw, "source": source, "normalized": n, "method": m}
 
-    def _component(self, decl: list[dict], **kw) -> dict:
-        return kw | {"license_declarations": decl, "licenses": [x for d in decl if (x := d["normalized"] or d["raw"])]}
+    def _slots(self, entry: dict) -> list[dict]:
+        held = ([(t, slot) for path, slot in CDX_LICENSE if (t := text(x, path))][:1] for x in nodes(entry, "licenses[]"))
+        return [self._declared(*h[0]) for h in held if h]
+
+    @staticmethod
+    def _target(node: dict, where: dict[str, str], declared: list[dict], **more) -> dict:
+        return fields(node, where) | {"licenses": [x for d in declared if (x := d["normalized"] or d["raw"])], "raw": dump(node)} | more
 
     # CycloneDX
     def cyclonedx(self, data: dict, row: dict) -> None:
-        meta = _obj(data.get("metadata"))
-        tools = meta.get("tools")
-        listed = _seq(tools) or [*_seq(_obj(tools).get("components")), *_seq(_obj(tools).get("services"))]
-        made = _obj(meta.get("manufacturer")) or _obj(meta.get("manufacture"))
-        authors = [_text(_obj(a).get("name")) or _text(_obj(a).get("email")) for a in _seq(meta.get("authors"))]
-        row |= {
-            "name": _text(_obj(meta.get("component")).get("name")), "namespace": _text(data.get("serialNumber")), "timestamp": _text(meta.get("timestamp")), "sbom_version": _text(data.get("version")),
-            "supplier": _text(_obj(meta.get("supplier")).get("name")), "creators": [x for x in [*authors, _text(made.get("name"))] if x], "tools": [x for t in listed if (x := _text(_obj(t).get("name")))],
-            "tool_versions": [x for t in listed if (x := _text(_obj(t).get("version")))], "lifecycles": [x for p in _seq(meta.get("lifecycles")) if (x := _text(_obj(p).get("phase")) or _text(_obj(p).get("name")))],
-            "signed": bool(data.get("signature") or meta.get("signature")), "raw": _dump({k: v for k, v in data.items() if k not in ("components", "dependencies")}),
+        made = [t for t in (text(data, "metadata.manufacturer.name", "metadata.manufacture.name"),) if t]
+        tool = next((t for t in ("metadata.tools[]", "metadata.tools.components[]") if nodes(data, t)), "metadata.tools.components[]")
+        tools = nodes(data, tool) + (nodes(data, "metadata.tools.services[]") if tool.endswith("components[]") else [])
+        row |= fields(data, CDX_DOCUMENT) | {
+            "creators": [t for a in nodes(data, "metadata.authors[]") if (t := text(a, "name", "email"))] + made, "tools": [t for x in tools if (t := text(x, "name"))], "tool_versions": [t for x in tools if (t := text(x, "version"))],
+            "lifecycles": [t for x in nodes(data, "metadata.lifecycles[]") if (t := text(x, "phase", "name"))], "signed": any(nodes(data, "signature") + nodes(data, "metadata.signature")), "raw": dump(data, ("components", "dependencies")),
         }
-        row["components"] = [self._cdx_component(c) for c in _seq(data.get("components")) if isinstance(c, dict)]
-        root = _obj(meta.get("component"))
-        stack, files = [*_seq(data.get("components")), *_seq(root.get("components"))][::-1], []
-        while stack:  # all levels, in order of the text
-            c = stack.pop()
-            if isinstance(c, dict):
-                if str(c.get("type", "")).lower() == "file":
-                    files.append(self._cdx_file(c))
-                stack += _seq(c.get("components"))[::-1]
-        if str(root.get("type", "")).lower() == "file":
-            own = self._cdx_file(root)
-            if not any((own["spdx_id"] and f["spdx_id"] == own["spdx_id"]) or (not own["spdx_id"] and f["name"] == own["name"]) for f in files):
-                files.insert(0, own)
-        row["files"] = files
-        for d in _seq(data.get("dependencies")):
-            src = _text(_obj(d).get("ref"))
-            if src is not None:
-                row["edges"] += [{"src": src, "dst": t} for x in _seq(d.get("dependsOn")) if (t := _text(x)) is not None] or [{"src": src, "dst": None}]
-
-    def _slots(self, entry: dict) -> list[dict]:
-        out = []
-        for x in _seq(entry.get("licenses")):
-            e, lic = _text(_obj(x).get("expression")), _obj(_obj(x).get("license"))
-            for raw, slot in ((e, "expression"), (_text(lic.get("id")), "license.id"), (_text(lic.get("name")), "name")):
-                if raw:
-                    out.append(self._declared(raw, slot))
-                    break
-        return out
-
-    def _cdx_component(self, c: dict) -> dict:
-        t = lambda k: _text(c.get(k))
-        return self._component(
-            self._slots(c), bom_ref=t("bom-ref"), name=t("name"), version=t("version"), type=t("type"), purl=t("purl"), cpe=t("cpe"), supplier=_text(_obj(c.get("supplier")).get("name")), author=t("author"), publisher=t("publisher"),
-            hashes=_digests(c.get("hashes"), "alg", "content"), external_refs=[_dump(x) for x in _seq(c.get("externalReferences"))], raw=_dump(c),
-        )
-
-    def _cdx_file(self, c: dict) -> dict:
-        d = self._slots(c)
-        return {"spdx_id": _text(c.get("bom-ref")), "name": _text(c.get("name")), "copyright": _text(c.get("copyright")), "hashes": _digests(c.get("hashes"), "alg", "content"), "licenses": [x["normalized"] or x["raw"] for x in d], "raw": _dump(c)}
+        for c in objects(data, "components[]"):
+            d = self._slots(c)
+            row["components"].append(self._target(c, CDX_COMPONENT, d, license_declarations=d, hashes=digests(nodes(c, "hashes[]"), "alg", "content"), external_refs=[dump(x) for x in nodes(c, "externalReferences[]")]))
+        as_file = lambda c: self._target(c, CDX_FILE, self._slots(c), hashes=digests(nodes(c, "hashes[]"), "alg", "content"))
+        row["files"] = [as_file(c) for c in _file_nodes(nodes(data, "components[]") + nodes(data, "metadata.component.components[]"))]
+        for root in objects(data, "metadata.component"):
+            own = as_file(root)
+            by = "spdx_id" if own["spdx_id"] else "name"
+            if (text(root, "type") or "").lower() == "file" and own[by] not in {f[by] for f in row["files"]}:
+                row["files"].insert(0, own)
+        for d in objects(data, "dependencies[]"):
+            ends = [t for x in nodes(d, "dependsOn[]") if (t := plain(x)) is not None]
+            if (src := text(d, "ref")) is not None:
+                row["edges"] += [{"src": src, "dst": t} for t in ends or [None]]
 
     # SPDX 2
     def spdx2(self, data: dict, row: dict) -> None:
-        info = _obj(data.get("creationInfo"))
-        creators = [x for c in _seq(info.get("creators")) if (x := _text(c))]
-        tools = [c[5:].strip() for c in creators if c.startswith("Tool:")]
-        created = _text(info.get("created"))
-        row |= {
-            "name": _text(data.get("name")), "namespace": _text(data.get("documentNamespace")), "timestamp": re.sub(r"[Zz]$", "+00:00", created) if created else created, "data_license": _text(data.get("dataLicense")),
-            "creators": creators, "tools": tools, "tool_versions": [t.rsplit("-", 1)[1].strip() for t in tools if "-" in t], "raw": _dump({k: v for k, v in data.items() if k not in ("packages", "files", "relationships")}),
-        }
-        for p in _seq(data.get("packages")):
-            if not isinstance(p, dict):
-                continue
-            t = lambda k, p=p: _text(p.get(k))
-            refs = [_obj(r) for r in _seq(p.get("externalRefs"))]
-            first = lambda *kinds, refs=refs: next((_text(r.get("referenceLocator")) for r in refs if r.get("referenceType") in kinds), None)
-            raw = t("licenseConcluded") if t("licenseDeclared") is None else t("licenseDeclared")
-            decl = [self._declared(raw, "licenseDeclared" if t("licenseDeclared") is not None else "licenseConcluded")] if raw else []
-            row["components"].append(self._component(
-                decl, bom_ref=t("SPDXID"), name=t("name"), version=t("versionInfo"), type=None, purl=first("purl"), cpe=first("cpe23Type", "cpe22Type"), supplier=t("supplier"), author=t("originator"), publisher=None,
-                hashes=_digests(p.get("checksums"), "algorithm", "checksumValue"), external_refs=[_dump(r) for r in refs], raw=_dump(p),
+        creators = texts(data, "creationInfo.creators[]")
+        tools = [c.removeprefix("Tool:").strip() for c in creators if c.startswith("Tool:")]
+        row |= fields(data, SPDX_DOCUMENT) | {"creators": creators, "tools": tools, "tool_versions": [t.rpartition("-")[2].strip() for t in tools if "-" in t], "raw": dump(data, ("packages", "files", "relationships"))}
+        if row["timestamp"]:
+            row["timestamp"] = re.sub(r"[Zz]$", "+00:00", row["timestamp"])
+        for p in objects(data, "packages[]"):
+            refs = [r if isinstance(r, dict) else {} for r in nodes(p, "externalRefs[]")]
+            of_kind = {k: text(r, "referenceLocator") for r in reversed(refs) if isinstance(k := r.get("referenceType"), str)}
+            cpe = next((text(r, "referenceLocator") for r in refs if r.get("referenceType") in ("cpe23Type", "cpe22Type")), None)
+            slot = "licenseConcluded" if text(p, "licenseDeclared") is None else "licenseDeclared"
+            d = [self._declared(raw, slot) for raw in (text(p, slot),) if raw]
+            row["components"].append(self._target(
+                p, SPDX_PACKAGE, d, license_declarations=d, type=None, publisher=None, purl=of_kind.get("purl"), cpe=cpe, hashes=digests(nodes(p, "checksums[]"), "algorithm", "checksumValue"), external_refs=[dump(r) for r in refs],
             ))
-        for f in _seq(data.get("files")):
-            if isinstance(f, dict):
-                lic = [x for x in (_text(v) for v in _seq(f.get("licenseInfoInFiles"))) if x] or [x for x in [_text(f.get("licenseConcluded"))] if x]
-                row["files"].append({"spdx_id": _text(f.get("SPDXID")), "name": _text(f.get("fileName")), "copyright": _text(f.get("copyrightText")), "hashes": _digests(f.get("checksums"), "algorithm", "checksumValue"), "licenses": lic, "raw": _dump(f)})
-        for r in _seq(data.get("relationships")):
-            r = _obj(r)
-            src, dst = _text(r.get("spdxElementId")), _text(r.get("relatedSpdxElement"))
-            if r.get("relationshipType") in ("DEPENDS_ON", "DESCRIBES", "CONTAINS") and src and dst and dst not in ("NONE", "NOASSERTION"):
+        for f in objects(data, "files[]"):
+            found = texts(f, "licenseInfoInFiles[]") or texts(f, "licenseConcluded")
+            row["files"].append(self._target(f, SPDX_FILE, [], hashes=digests(nodes(f, "checksums[]"), "algorithm", "checksumValue")) | {"licenses": found})
+        for r in objects(data, "relationships[]"):
+            src, dst = text(r, "spdxElementId"), text(r, "relatedSpdxElement")
+            if r.get("relationshipType") in EDGES and src and dst and dst not in NO_END:
                 row["edges"].append({"src": src, "dst": dst})
 
     # SPDX 3
     def spdx3(self, data: dict, row: dict) -> None:
-        row["raw"] = _dump({k: v for k, v in data.items() if k != "@graph"})
-        for n in _seq(data.get("@graph")):
-            if not isinstance(n, dict):
-                continue
-            kinds = n.get("type", n.get("@type"))
-            kinds = {re.split(r"[/#:_]", k)[-1] for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str)}
-            get = lambda name, part="software", n=n: _text(n[f"{part}_{name}"] if f"{part}_{name}" in n else n.get(name))
-            ident = _text(n.get("spdxId")) or _text(n.get("@id"))
-            used = n.get("verifiedUsing")
-            hashes = {}
-            for h in used if isinstance(used, list) else [used]:
-                h = _obj(h)
-                if "Hash" in str(h.get("type", h.get("@type", ""))) and (v := _text(h.get("hashValue"))) and v.strip() and isinstance(h.get("algorithm"), str):
-                    hashes[re.split(r"[/#:]", h["algorithm"])[-1].removeprefix("hashAlgorithm_").lower()] = v
+        row["raw"] = dump(data, ("@graph",))
+        for n in objects(data, "@graph[]"):
+            named = n.get("type", n.get("@type"))
+            kinds = {re.split(r"[/#:_]", k)[-1] for k in (named if isinstance(named, list) else [named]) if isinstance(k, str)}
+            own = lambda name, n=n: text(n, f"software_{name}" if f"software_{name}" in n else name)
+            ident = text(n, "spdxId", "@id")
+            used = [h for h in (nodes(n, "verifiedUsing[]") or nodes(n, "verifiedUsing")) if isinstance(h, dict) and "Hash" in str(h.get("type", h.get("@type", "")))]
+            hashes = {re.split(r"[/#:]", a)[-1].removeprefix("hashalgorithm_"): v for a, v in digests(used, "algorithm", "hashValue").items()}
             if kinds & {"Package", "File"}:
-                row["components"].append(self._component([], bom_ref=ident, name=_text(n.get("name")), version=get("packageVersion"), type=None, purl=get("packageUrl"), cpe=None, supplier=None, author=None, publisher=None, hashes=hashes, external_refs=[], raw=_dump(n)))
+                row["components"].append(self._target(
+                    n, {"name": "name"}, [], license_declarations=[], **dict.fromkeys(("type", "cpe", "supplier", "author", "publisher")), bom_ref=ident, version=own("packageVersion"), purl=own("packageUrl"), hashes=hashes, external_refs=[],
+                ))
             if "File" in kinds:
-                row["files"].append({"spdx_id": ident, "name": _text(n.get("name")), "copyright": get("copyrightText"), "hashes": hashes, "licenses": [], "raw": _dump(n)})
+                row["files"].append(self._target(n, {"name": "name"}, [], spdx_id=ident, copyright=own("copyrightText"), hashes=dict(hashes)))
             if "SpdxDocument" in kinds:
-                row |= {"name": _text(n.get("name")), "namespace": ident}
+                row |= {"name": text(n, "name"), "namespace": ident}
             if "CreationInfo" in kinds:
-                row |= {"timestamp": _text(n.get("created")), "creators": [x for c in _seq(n.get("createdBy")) if (x := _text(c))]}
+                row |= {"timestamp": text(n, "created"), "creators": texts(n, "createdBy[]")}
 
-    def row(self, doc_id: int, text: str, fmt: str, version: str, encoding: str) -> dict:
+    def row(self, doc_id: int, whole: str, fmt: str, version: str, encoding: str) -> dict:
         row = {f.name: None for f in _ROW} | {"doc_id": doc_id, "sbom_format": fmt, "spec_version": version, "encoding": encoding, "signed": False, "creators": [], "tools": [], "tool_versions": [], "lifecycles": [], "components": [], "files": [], "edges": []}
         try:
-            data = {"json": json.loads, "yaml": _yaml, "tagvalue": tag_value, "xml": _xml if fmt == "cyclonedx" else _spdx_xml}[encoding](text)
+            data = {"json": json.loads, "yaml": _yaml, "tagvalue": tag_value, "xml": _xml if fmt == "cyclonedx" else _spdx_xml}[encoding](whole)
             row["schema_errors"] = structural_errors(data, fmt, version)
-            if fmt == "cyclonedx":
-                self.cyclonedx(_obj(data), row)
-            elif version.startswith("3"):
-                self.spdx3(_obj(data), row)
-            else:
-                self.spdx2(_obj(data), row)
-        except (ValueError, ET.ParseError) as e:
-            row["schema_errors"] = [f"could not be parsed: {e}"[:300]]
+            read = self.cyclonedx if fmt == "cyclonedx" else self.spdx3 if version.startswith("3") else self.spdx2
+            read(data if isinstance(data, dict) else {}, row)
+        except (ValueError, ET.ParseError, RecursionError) as e:  # one hostile document must not stop the corpus
+            row |= {"components": [], "files": [], "edges": [], "schema_errors": [f"could not be parsed: {e}"]}
         return row
 
 

@@ -183,3 +183,11 @@ def test_a_licence_list_above_the_bound_is_refused(spark, tmp_path, monkeypatch)
         conformance.lic_policy(spark, str(tmp_path))
     with pytest.raises(ValueError, match="license_reference"):
         binding.corpus(spark, str(tmp_path))
+
+
+def test_a_hostile_document_does_not_stop_the_corpus(spark):
+    deep = "spdxVersion: SPDX-2.3\nname: " + "[" * 5000 + "]" * 5000
+    xml = '<bom xmlns="http://cyclonedx.org/schema/bom/1.6"><components>' + "<component type='library'><name>x</name><components>" * 4000 + "</components></component>" * 4000 + "</components></bom>"
+    c = read(spark.createDataFrame([(1, deep), (2, xml), (3, json.dumps(CDX))], "id long, t string"), "id", "t")
+    assert {r["doc_id"]: r["schema_errors"][0].startswith("could not be parsed") for r in c.documents.collect()} == {1: True, 2: True, 3: False}
+    assert {r["doc_id"] for r in c.components.collect()} == {3}
