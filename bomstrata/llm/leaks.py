@@ -13,6 +13,7 @@ items whose sentences were rearranged are found by each passage.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ SEED, TILE, GAP = 4, 3, 3
 ITEMS_PER_BLOCK = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Marks without meaning for the words: tags, comments, character references, invisible characters.
-_MARKUP = r"(?s)<!--.*?-->|</?[A-Za-z][^<>]{0,300}>|&#?[A-Za-z0-9]{1,10};"
+_ATTRIBUTE = r"""\s+[A-Za-z_:@][A-Za-z0-9_:.\-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+))?"""
+_MARKUP = rf"(?s)<!--.*?-->|</?[A-Za-z][A-Za-z0-9:\-]*(?:{_ATTRIBUTE})*\s*/?>|&#?[A-Za-z0-9]+;"
 _INVISIBLE = "[­​-‍⁠﻿]"
 
 
@@ -185,10 +187,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 20, coverage:
 
 
 def _against(docs: DataFrame, shared, min_words: int, coverage: float) -> DataFrame:
-    token = id(shared)
+    digest = hashlib.sha256(repr(shared.value).encode()).hexdigest()  # of the items themselves: a worker outlives a query
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (token, min_words)
+        key = (digest, min_words)
         if key not in _INDEXES:
             _INDEXES.clear()
             _INDEXES[key] = Items(shared.value, min_words)

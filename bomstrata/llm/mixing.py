@@ -119,6 +119,7 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block_t
     names, share = [p[0] for p in plan], np.array([p[1] or 0.0 for p in plan])
     blocks = {p[0]: -(-p[3] // block_tokens) for p in plan}
     most = {p[0]: p[2] or 0 for p in plan}
+    capacity = {p: blocks[p] * most[p] for p in blocks}
     n_slots = -(-total // block_tokens)
     shards = max(1, -(-n_slots // shard_blocks)) if n_slots else 0
 
@@ -157,13 +158,25 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block_t
     info = spark.createDataFrame([(n, s, m, t, d, total) for n, s, m, t, d in plan], "source string, target_share double, max_repeats long, n_tokens long, n_docs long, all_tokens long")
     report = info.join(filled, "source", "left")
     all_mixed = F.sum(F.coalesce("mixed_tokens", F.lit(0))).over(Window.partitionBy(F.lit(1)))  # one row per source
+    report = report.withColumn("capacity", F.lit(0).cast("long") if not blocks else F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in capacity.items() for x in kv]), F.col("source")), F.lit(0)))
     report = report.select(
         "source", "target_share", "max_repeats", "n_docs", "n_tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), (F.coalesce("mixed_tokens", F.lit(0)) / F.nullif(all_mixed, F.lit(0))).alias("actual_share"),
-        F.coalesce("n_empty", F.lit(0)).alias("empty_slots"), (F.col("n_tokens") * F.col("max_repeats") < F.col("target_share") * F.col("all_tokens")).alias("falls_short"),
+        F.coalesce("n_slots", F.lit(0)).alias("n_slots"), "capacity", F.coalesce("n_empty", F.lit(0)).alias("empty_slots"), (F.col("n_tokens") * F.col("max_repeats") < F.col("target_share") * F.col("all_tokens")).alias("falls_short"),
     )
     return Mix(pieces, slots, report)
 
 
+def short_sources(m: Mix) -> DataFrame:
+    """``source``: sources that cannot reach their share.
+
+    The draw shows them: slots stay empty, or, as a draw varies, fill the source's capacity (blocks times repeats) up to
+    six standard deviations and one block per repeat. An exact comparison of tokens decides between those.
+    """
+    n = F.col("n_slots")
+    near = (F.col("empty_slots") > 0) | (n + 6 * F.sqrt(n + 9) + F.coalesce("max_repeats", F.lit(0)) >= F.col("capacity"))
+    return m.report.where(near & F.col("falls_short")).select("source")
+
+
 def mixed_blocks(m: Mix) -> DataFrame:
     """``shard, source, k, epoch, block, pieces``: the filled slots with their pieces in order, joined by index."""
     packed = m.pieces.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "start", "end"))).alias("pieces"))  # a block has block_tokens pieces at most

@@ -44,7 +44,7 @@ def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir).report.where("falls_short").select("source")
+    return mixing.short_sources(_mix(spark, sf_dir))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
