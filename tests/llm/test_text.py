@@ -178,6 +178,7 @@ def test_mix(spark):
         uses[(s["source"], s["block"])] = uses.get((s["source"], s["block"]), 0) + 1
     assert max(v for (s, _), v in uses.items() if s == "a") == 1 and max(v for (s, _), v in uses.items() if s == "b") == 2
     assert r["b"]["mixed_tokens"] == 2 * r["b"]["n_tokens"] and r["b"]["empty_slots"] > 0
+    assert {x["source"] for x in mixing.short_sources(m).collect()} == {"b", "none"}
     assert mixing.mixed_blocks(m).count() == sum(uses.values())
     assert mixing.mix(docs.limit(0), targets).report.where("falls_short").count() == 0
 
@@ -216,8 +217,52 @@ def test_restore_text(spark):
     assert encodings.restore_text(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+RUSSIAN = """Старый скрипт читает раздел отчёта дважды и пишет ещё один неполный список
+Язык программы меняется редко а форма записи почти каждый месяц
+Юрий заметил что объём данных растёт быстрее чем площадь диска
+Эта функция возвращает пустую строку если файл не найден
+Хранилище хочет знать щедрый ли хозяин и чей это ящик
+Любая ошибка в начале цикла ведёт к новой ошибке в конце""".split("\n")
+
+
+def test_letters_of_a_page_that_is_not_listed_are_learned(spark):
+    # source "m" reads Mac Cyrillic, which no seed is: its capitals and its last letter stand elsewhere than in the nearest seed
+    assert "mac_cyrillic" not in {p for pair in encodings.SWAPS for p in pair}
+    rng = np.random.default_rng(5)
+    word = [w for line in RUSSIAN for w in line.split()]
+    text = lambda: " ".join(w.capitalize() if rng.random() < 0.3 else w for w in rng.choice(word, 12))
+    rows = [(10_000 + i, text(), "clean") for i in range(4000)]
+    want = {}
+    for i in range(60):
+        want[1000 + i] = text()
+        rows.append((1000 + i, _wrong(want[1000 + i], "mac_cyrillic", "west"), "m"))
+        want[2000 + i] = text()
+        rows.append((2000 + i, _wrong(want[2000 + i], "cp1251", "west"), "w"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    learned = encodings.learn(docs.select("doc_id", "text", "source"))[2].moved
+    k = encodings.SWAPS.index(("cp1251", "west"))
+    m, w = encodings.source_bucket("m"), encodings.source_bucket("w")
+    assert chr(learned[(m, k)][ord("ß")]) == "я" and (w, k) not in learned  # the other source keeps the seed
+    right = sum(chr(b) == encodings._decode_byte(encodings.to_byte("west")[a], "mac_cyrillic") for a, b in learned[(m, k)].items())
+    assert right >= 0.9 * len(learned[(m, k)]) and len(learned[(m, k)]) >= 10
+    got = {r["doc_id"]: r["restored"] for r in encodings.restore_text(docs).collect()}
+    assert {k: v for k, v in got.items() if k >= 2000} == {k: v for k, v in want.items() if k >= 2000}
+    letters = [(a, b) for k in range(1000, 1060) for a, b in zip(got.get(k, ""), want[k])]
+    assert set(got) == set(want) and sum(a == b for a, b in letters) >= 0.97 * len(letters)
+
+
+def test_a_symbol_never_takes_the_letter_of_another_in_use():
+    key = (3 * len(encodings.SWAPS) + 0) * 128
+    moved = encodings.moved_symbols([(key + 5, 9, 50.0), (key + 5, 7, 40.0), (key + 6, 7, 90.0), (key + 6, 8, 30.0)], {key + 5, key + 6, key + 9})
+    read, written = encodings.SWAPS[0][1], encodings.SWAPS[0][0]
+    assert moved == {(3, 0): {ord(encodings._decode_byte(134, read)): int(encodings.page_letters(written)[7])}}
+
+
 def test_words_of_markup():
     assert [w for w in leaks.words(pa.array(["<b>Ab-c</b> &amp; d­e <br/> x<y"])).to_pylist()[0] if w] == ["ab", "c", "de", "x", "y"]
+    tag = "<a " + " ".join(f'data-{i}="some value"' for i in range(100)) + ">"
+    prose = "<" + "not a tag, as it has commas. " * 30 + ">"
+    assert len(tag) > 1000 and [w for w in leaks.words(pa.array([tag + "in" + prose])).to_pylist()[0] if w] == ["in"] + ["not", "a", "tag", "as", "it", "has", "commas"] * 30
 
 
 def test_entities_only_as_bytes_of_utf8():
