@@ -8,7 +8,7 @@ document (versions, signature, the dependency graph) is aggregated first, one ro
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,7 +154,7 @@ def _refuse(profiles: list[Profile], policy: licenses.Policy | None) -> None:
     for p in profiles:
         if p.withdrawn:
             raise ProfileError(f"profile {p.id!r} is withdrawn: {p.withdrawn}")
-        if p.engine and policy is None:
+        if p.engine and policy is None and not p.policy_path:
             raise ProfileError(f"profile {p.id!r} asks for a licence policy, and none is given")
         for r in p.rules:
             for name, _ in r.validators:
@@ -220,6 +220,8 @@ def findings(c: Corpus, profiles: list[Profile], policy: licenses.Policy | None
 def _license_findings(c: Corpus, p: Profile, policy: licenses.Policy | None, tables: licenses.LicenseTables | None) -> DataFrame:
     """Overrides first (the last of an identifier wins), then the policy."""
     lic = c.components.withColumn("identity", identity("purl", "cpe", "name@version", "bom_ref")).select("doc_id", "pos", F.concat(F.lit("components["), F.col("pos").cast("string"), F.lit("]:"), F.col("identity")).alias("path"), F.explode("licenses").alias("lic"))
+    if p.engine:
+        policy = replace(policy or licenses.Policy.read(p.policy_path), context=p.context)
     own = {i: (a, r) for i, a, r in p.overrides}
     allowed = F.create_map(*[F.lit(x) for i, (a, _) in own.items() for x in (i, a)]) if own else F.create_map().cast("map<string,boolean>")
     reason = F.create_map(*[F.lit(x) for i, (a, r) in own.items() for x in (i, r or f"license {i} {'' if a else 'not '}allowed for {p.use_case}")]) if own else F.create_map().cast("map<string,string>")
