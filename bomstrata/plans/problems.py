@@ -74,7 +74,58 @@ judged AS (
   FROM aimed a LEFT JOIN parents p ON p.sbom_id = a.target AND p.bom_ref = a.ref)
 """
 
+_VERSION = r"(v?\d+\.\d+\.\d+([-+][0-9A-Za-z.-]+)?|\d{4}([.\-]\d{1,2}){1,2}([.\-][0-9A-Za-z]+)?)"
+_PLACEHOLDER = r"(?i)\s*(todo|tbd|changeme|change[_-]?me|xxx+|n/?a|unknown|example|placeholder|foo|bar|\$\{.*\}|<.*>|0\.0\.0|1\.0\.0-snapshot)\s*"
+_PURL = r"[pP][kK][gG]:/*[A-Za-z][A-Za-z0-9.+\-]*/+([^@?#\s]*/)?[^/@?#\s]+/*(@[^?#\s]*)?(\?([A-Za-z._\-][A-Za-z0-9._\-]*=[^#&\s]*(&[A-Za-z._\-][A-Za-z0-9._\-]*=[^#&\s]*)*)?)?(#\S*)?"
+_GOOD = {
+    "version_info": f"(regexp_full_match(version_info, '{_VERSION}') AND NOT regexp_full_match(version_info, '{_PLACEHOLDER}'))", "purl": f"regexp_full_match(purl, '{_PURL}')",
+    "supplier": r"regexp_full_match(supplier, '(Organization|Person): \s*[^(\s].*', 's')",
+}
+
+
+def _profile_sql(c: str) -> str:
+    token = f"(lower(trim({c}, E' \\t\\n\\r')) IN {_TOKENS})"
+    text = f"CASE WHEN NOT {token} THEN {c} END"
+    return (
+        f"SELECT '{c}' AS column_name, CAST(load_no AS BIGINT) AS load_no, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(*) FILTER ({token}) AS n_tokens, count(*) FILTER ({c} IS NOT NULL AND NOT {token} AND NOT {_GOOD[c]}) AS n_violations,"
+        f" count(DISTINCT {text}) AS n_distinct, min({text}) AS low, max({text}) AS high FROM spdx_package GROUP BY ALL"
+    )
+
+
+def _list(node: str, name: str) -> str:
+    """Elements of a member; a lone object stands for a list of one."""
+    return f"json_each(CASE json_type({node}, '$.{name}') WHEN 'ARRAY' THEN {node}->'$.{name}' WHEN 'OBJECT' THEN json_array({node}->'$.{name}') END)"
+
+
+def _text(node: str, path: str) -> str:
+    return f"CASE WHEN json_type({node}, '{path}') = 'VARCHAR' AND trim({node}->>'{path}', E' \\t\\n\\r') <> '' THEN {node}->>'{path}' END"
+
+
+def _pairs(kind: str, owner: str, name: str, key: str, value: str) -> str:
+    return f"SELECT raw_id, node_path, '{kind}' AS item_kind, CAST(e.key AS INT) AS item_pos, {_text('e.value', '$.' + key)} AS item_key, {_text('e.value', '$.' + value)} AS item_value FROM (SELECT * FROM {owner}), {_list('node', name)} e WHERE e.type = 'OBJECT'"
+
+
+_ITEMS = f"""
+WITH RECURSIVE docs AS (SELECT raw_id, payload AS p FROM raw_sbom WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+tops AS (
+  SELECT raw_id, 'metadata.component' AS node_path, p->'$.metadata.component' AS node FROM docs WHERE json_type(p, '$.metadata.component') = 'OBJECT'
+  UNION ALL SELECT raw_id, 'components[' || e.key || ']', e.value FROM docs, {_list('p', 'components')} e WHERE e.type = 'OBJECT'),
+own AS (
+  SELECT * FROM tops
+  UNION ALL SELECT o.raw_id, o.node_path || '.components[' || e.key || ']', e.value FROM own o, {_list('o.node', 'components')} e WHERE e.type = 'OBJECT'),
+spdx AS (
+  SELECT raw_id, 'packages[' || e.key || ']' AS node_path, e.value AS node FROM docs, {_list('p', 'packages')} e WHERE e.type = 'OBJECT'
+  UNION ALL SELECT raw_id, 'files[' || e.key || ']', e.value FROM docs, {_list('p', 'files')} e WHERE e.type = 'OBJECT'),
+lic AS (SELECT raw_id, node_path, CAST(e.key AS INT) AS pos, {_text('e.value', '$.expression')} AS x, {_text('e.value', '$.license.id')} AS i, {_text('e.value', '$.license.name')} AS n FROM (SELECT * FROM own), {_list('node', 'licenses')} e WHERE e.type = 'OBJECT'),
+items AS (
+  {_pairs('hash', 'own', 'hashes', 'alg', 'content')} UNION ALL {_pairs('external_ref', 'own', 'externalReferences', 'type', 'url')}
+  UNION ALL {_pairs('hash', 'spdx', 'checksums', 'algorithm', 'checksumValue')} UNION ALL {_pairs('external_ref', 'spdx', 'externalRefs', 'referenceType', 'referenceLocator')}
+  UNION ALL SELECT raw_id, node_path, 'license', pos, CASE WHEN x IS NOT NULL THEN 'expression' WHEN i IS NOT NULL THEN 'id' ELSE 'name' END, coalesce(x, i, n) FROM lic)
+SELECT * FROM items WHERE item_key IS NOT NULL AND item_value IS NOT NULL"""
+
 ORACLE = {
+    "p1_profile": " UNION ALL ".join(map(_profile_sql, _GOOD)),
+    "p7_found": _ITEMS,
     "p4_found": _ORPHANS + "SELECT * FROM judged WHERE outcome <> ''",
     "p4_report": _ORPHANS + "SELECT 'cdx_dependency' AS table_name, field_name, outcome, period, count(*) AS n_references, count(DISTINCT target_ref) AS n_targets FROM judged WHERE outcome <> '' GROUP BY ALL",
     "p1_footers": " UNION ALL ".join(
