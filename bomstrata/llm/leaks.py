@@ -2,8 +2,8 @@
 
 The held-out items are split into blocks of bounded size; each block is broadcast and met by every document in a
 narrow map, so documents are never shuffled and a hot author, source or copy costs nothing extra. In a task,
-batches of documents become word numbers with vectorised Arrow functions; a running Karp-Rabin hash over
-``SEED`` words joins documents and items on shared seeds. Each pair that shares one is tiled: the longest
+batches of documents become word numbers with vectorised Arrow and NumPy functions; a running Karp-Rabin hash over
+``SEED`` words joins documents and items on shared seeds. Each pair that shares ``least_seeds`` is tiled: the longest
 common runs of words are marked first, never overlapping, down to runs of ``TILE`` words. Neighbouring tiles in
 the same order, with a few words replaced between them, form a passage, which goes on over single replaced words at
 both ends; a passage of ``min_words`` item words or
@@ -13,8 +13,11 @@ items whose sentences were rearranged are found by each passage.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +29,60 @@ SEED, TILE, GAP = 4, 3, 3
 #: Items of one broadcast.
 ITEMS_PER_BLOCK = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Marks without meaning for the words: tags, comments, character references, invisible characters.
 _ATTRIBUTE = r"""\s+[A-Za-z_:@][A-Za-z0-9_:.\-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+))?"""
 _MARKUP = rf"(?s)<!--.*?-->|</?[A-Za-z][A-Za-z0-9:\-]*(?:{_ATTRIBUTE})*\s*/?>|&#?[A-Za-z0-9]+;"
 _INVISIBLE = "[­​-‍⁠﻿]"
 
 
-def words(texts: pa.Array) -> pa.Array:
-    """Lists of lower-case words, without markup, punctuation and layout."""
-    t = pc.replace_substring_regex(texts, _MARKUP, " ")
-    t = pc.replace_substring_regex(t, _INVISIBLE, "")
-    return pc.split_pattern_regex(pc.utf8_lower(t), r"[^\pL\pN]+")
+@functools.lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Which characters of the basic plane are letters or digits."""
+    return np.array([unicodedata.category(chr(i))[0] in "LN" for i in range(1 << 16)])
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        up, down = (np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)], dtype=np.uint64) for x in (_BASE, _INVERSE))
+    return up, down
+
+
+@dataclass
+class Words:
+    """Words of a batch of texts, lower-case, without markup, punctuation and layout: hashes, and where each text starts."""
+
+    codes: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        t = pc.replace_substring_regex(texts, _MARKUP, " ")
+        t = pc.utf8_lower(pc.replace_substring_regex(t, _INVISIBLE, ""))
+        lists = t.to_pylist()
+        codes = np.frombuffer("\n".join([*lists, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ok = _letters()[np.minimum(codes, 65535)]
+        for i in np.flatnonzero(codes > 65535).tolist():
+            ok[i] = unicodedata.category(chr(codes[i]))[0] in "LN"
+        edge = np.flatnonzero(np.diff(np.r_[False, ok, False].astype(np.int8)))
+        ends = np.cumsum(np.array([len(x) + 1 for x in lists], np.int64)) if lists else np.zeros(0, np.int64)
+        return cls(codes, edge[::2], edge[1::2], np.r_[0, np.searchsorted(edge[::2], ends)])
+
+    def hashes(self) -> np.ndarray:
+        """One hash per word, from prefix sums over the batch."""
+        up, down = _powers(1 << max(10, int(len(self.codes)).bit_length()))
+        with np.errstate(over="ignore"):
+            sums = np.r_[np.uint64(0), np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * up[: len(self.codes)], dtype=np.uint64)]
+            z = (sums[self.last] - sums[self.first]) * down[self.first]
+            z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return z ^ (z >> np.uint64(29))
+
+    def texts(self) -> list[str]:
+        whole = self.codes.tobytes().decode("utf-32-le", "surrogatepass")
+        return [whole[x:y] for x, y in zip(self.first.tolist(), self.last.tolist())]
 
 
 def rolling(ids: np.ndarray, k: int) -> np.ndarray:
@@ -139,28 +185,41 @@ class Items:
     """Seed index of a block of items."""
 
     def __init__(self, rows: list[tuple[int, str]], min_words: int):
-        lists = words(pa.array([t for _, t in rows], pa.string()))
-        vocabulary = pc.unique(lists.flatten())
-        self.vocabulary = vocabulary.filter(pc.not_equal(vocabulary, ""))
+        w = Words.of(pa.array([t for _, t in rows], pa.string()))
+        h = w.hashes()
+        self.vocabulary = np.unique(h)
+        ids = number(h, self.vocabulary)
         self.items: list[tuple[int, np.ndarray]] = []
-        h, owner = [], []
-        for (key, _), w in zip(rows, lists):
-            ids = number(w.values, self.vocabulary)
-            ids = ids[ids > 0]
-            if len(ids) < min_words:
+        seeds, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, (key, _) in enumerate(rows):
+            own = ids[w.starts[i] : w.starts[i + 1]]
+            if len(own) < min_words:
                 continue
-            r = np.unique(rolling(ids, SEED))
-            h.append(r)
+            r = np.unique(rolling(own, SEED))
+            seeds.append(r)
             owner.append(np.full(len(r), len(self.items)))
-            self.items.append((key, ids))
-        h, owner = (np.concatenate(h), np.concatenate(owner)) if h else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        by = np.argsort(h, kind="stable")
-        self.seeds, self.owner = h[by], owner[by]
+            self.items.append((key, own))
+        all_seeds, all_owner = np.concatenate(seeds), np.concatenate(owner)
+        by = np.argsort(all_seeds, kind="stable")
+        self.seeds, self.owner = all_seeds[by], all_owner[by]
 
 
-def number(flat: pa.Array, vocabulary: pa.Array) -> np.ndarray:
+def number(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """Word numbers from 1; 0 for words that no item has."""
-    return pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    if not len(vocabulary):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == hashes, at + 1, 0)
+
+
+def least_seeds(min_words: int, coverage: float) -> int:
+    """Seeds that a document and an item with a passage in common share at least.
+
+    Of ``n`` words ``r`` are replaced and leave ``r + 1`` runs, each of which has ``SEED - 1`` seeds fewer than words. Half
+    of the smallest number leaves room for words that are put in, which break runs too.
+    """
+    replaced = lambda n: int(n * (1 - coverage))
+    return max(1, (min(n - replaced(n) - (replaced(n) + 1) * (SEED - 1) for n in range(min_words, 4 * min_words)) + 1) // 2)
 
 
 _INDEXES: dict = {}
@@ -187,6 +246,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 20, coverage:
 
 
 def _against(docs: DataFrame, shared, min_words: int, coverage: float) -> DataFrame:
+    enough = least_seeds(min_words, coverage)
     digest = hashlib.sha256(repr(shared.value).encode()).hexdigest()  # of the items themselves: a worker outlives a query
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +258,8 @@ def _against(docs: DataFrame, shared, min_words: int, coverage: float) -> DataFr
         for whole in batches:
             for a in range(0, whole.num_rows, 2000):
                 batch = whole.slice(a, 2000)
-                lists = words(batch.column(1))
-                ids = number(lists.flatten(), ix.vocabulary)
-                starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                w = Words.of(batch.column(1))
+                ids, starts = number(w.hashes(), ix.vocabulary), w.starts
                 h = rolling(ids, SEED)
                 at = np.searchsorted(ix.seeds, h)
                 hit = np.flatnonzero((at < len(ix.seeds)) & (ix.seeds[np.minimum(at, len(ix.seeds) - 1)] == h)) if len(ix.seeds) else np.zeros(0, np.int64)
@@ -211,8 +270,9 @@ def _against(docs: DataFrame, shared, min_words: int, coverage: float) -> DataFr
                 m = hi - lo
                 d = np.repeat(doc, m)
                 o = ix.owner[np.repeat(lo, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                pairs, shared_seeds = np.unique(d * len(ix.items) + o, return_counts=True)
                 found = []
-                for p in np.unique(d * len(ix.items) + o).tolist():
+                for p in pairs[shared_seeds >= enough].tolist():
                     i, j = divmod(p, len(ix.items))
                     if has_passage(ix.items[j][1], ids[starts[i] : starts[i + 1]], min_words, coverage):
                         found.append((i, ix.items[j][0]))

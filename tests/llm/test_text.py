@@ -144,6 +144,22 @@ def test_one_word_in_eight_may_be_replaced():
     assert not has(doc(10, 20, 4, 9, 14)) and not has(doc(10, 19)) and not has(doc(10, 20, 0)) and not has(doc(10, 20, 1, 10, 18))
 
 
+def test_words_and_seeds_of_a_batch():
+    texts = ["", "One two", "naïve Größe １２ 𝟛 x²", "two", "..."]
+    w = leaks.Words.of(pa.array(texts))
+    assert [w.texts()[a:b] for a, b in zip(w.starts, w.starts[1:])] == [[], ["one", "two"], ["naïve", "größe", "１２", "𝟛", "x²"], ["two"], []]
+    h = w.hashes()
+    assert h[1] == h[-1] and len(set(h.tolist())) == len(h) - 1
+    assert leaks.least_seeds(20, 0.875) == 5
+    # the smallest passages: 20 words with two, 24 with three replaced, spread evenly
+    item = np.arange(1, 25)
+    for n, out in ((20, (6, 13)), (24, (5, 11, 17))):
+        doc = item[:n].copy()
+        doc[list(out)] = 0
+        shared = np.isin(leaks.rolling(doc, leaks.SEED), leaks.rolling(item[:n], leaks.SEED)).sum()
+        assert shared >= leaks.least_seeds(20, 0.875) and leaks.has_passage(item[:n], doc, 20, 0.875)
+
+
 def test_tiles_do_not_overlap():
     rng = np.random.default_rng(2)
     for _ in range(30):
@@ -259,10 +275,10 @@ def test_a_symbol_never_takes_the_letter_of_another_in_use():
 
 
 def test_words_of_markup():
-    assert [w for w in leaks.words(pa.array(["<b>Ab-c</b> &amp; d­e <br/> x<y"])).to_pylist()[0] if w] == ["ab", "c", "de", "x", "y"]
+    assert leaks.Words.of(pa.array(["<b>Ab-c</b> &amp; d­e <br/> x<y"])).texts() == ["ab", "c", "de", "x", "y"]
     tag = "<a " + " ".join(f'data-{i}="some value"' for i in range(100)) + ">"
     prose = "<" + "not a tag, as it has commas. " * 30 + ">"
-    assert len(tag) > 1000 and [w for w in leaks.words(pa.array([tag + "in" + prose])).to_pylist()[0] if w] == ["in"] + ["not", "a", "tag", "as", "it", "has", "commas"] * 30
+    assert len(tag) > 1000 and leaks.Words.of(pa.array([tag + "in" + prose])).texts() == ["in"] + ["not", "a", "tag", "as", "it", "has", "commas"] * 30
 
 
 def test_entities_only_as_bytes_of_utf8():
