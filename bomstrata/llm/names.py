@@ -22,6 +22,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from bomstrata.session import cut
 
 Q, PREFIX = 3, 5
-#: Most frequent tokens that are known as words which others abbreviate.
-COMMON = 2000
+#: A token of this share of the names, and of this many at least, is a common word, which others may abbreviate.
+COMMON_SHARE, COMMON_LEAST = 0.005, 12
 #: Legal forms, articles and titles, which tell no parties apart.
 LEGAL = frozenset(
     "ltd limited llc inc incorporated corp corporation co company gmbh gesellschaft mbh ag aktiengesellschaft ab aktiebolag sa ev plc kg ohg bv nv oy as srl spa sarl pty"
@@ -39,17 +40,43 @@ LEGAL = frozenset(
 )
 #: Units of an organisation after " - ".
 UNITS = frozenset("ospo release team product security department".split())
-#: Nicknames.
+#: Common nicknames of given names in English, German and some other languages.
 NICKNAMES = {
-    "alexander": "alex sasha sascha xander", "andrew": "andy drew", "anneliese": "anne anni liese lisa annie", "benjamin": "ben benny benji", "chiara": "kiki", "christopher": "chris kit topher",
-    "deborah": "debbie deb debby", "elizabeth": "liz beth betty lizzie eliza lisa", "frederick": "fred freddy freddie fritz", "gabriela": "gabi gaby gabby", "ingrid": "inga", "johannes": "hannes hans jo johann",
-    "joseph": "joe joey jo sepp", "katherine": "kate kathy katie kat", "margaret": "maggie peggy meg greta marge", "matthias": "matze matt matthes", "mehmet": "memo", "michael": "mike mick michi micha",
-    "nikolaus": "nick klaus niko nikolas niklas nico", "olamide": "ola", "patricia": "pat patty trish tricia", "richard": "rick dick rich ricky", "robert": "bob rob bobby robbie bert", "susanne": "susi susan sue sanne",
-    "theresa": "tess teresa terry resi", "thomas": "tom tommy", "tomasz": "tomek tom", "william": "will bill billy liam willy",
+    "abigail": "abby gail", "albert": "al bert bertie", "alexander": "alex sasha sascha xander", "alexandra": "alex sandra sasha lexi", "alfred": "alf alfie fred", "amanda": "mandy", "andrew": "andy drew", "andreas": "andi andy",
+    "anneliese": "anne anni liese lisa annie", "anthony": "tony", "barbara": "barb babs bärbel", "bartholomew": "bart", "benjamin": "ben benny benji", "bernhard": "bernd", "catherine": "cathy kate cat", "charles": "charlie chuck chas",
+    "chiara": "kiki", "christina": "tina chris", "christopher": "chris kit topher", "daniel": "dan danny", "david": "dave davy", "deborah": "debbie deb debby", "dorothy": "dot dolly", "edward": "ed eddie ted ned",
+    "eleanor": "ellie nell nora", "elizabeth": "liz beth betty lizzie eliza lisa", "eugene": "gene", "francis": "frank fran", "franziska": "franzi", "frederick": "fred freddy freddie fritz", "friedrich": "fritz",
+    "gabriela": "gabi gaby gabby", "gerald": "gerry jerry", "gregory": "greg", "heinrich": "heinz heini", "helena": "lena", "henry": "harry hank", "ingrid": "inga", "jacob": "jake", "james": "jim jimmy jamie", "jennifer": "jen jenny",
+    "johannes": "hannes hans jo johann", "jonathan": "jon", "joseph": "joe joey jo sepp", "joshua": "josh", "judith": "judy", "katherine": "kate kathy katie kat", "kenneth": "ken kenny", "lawrence": "larry", "leonard": "leo len lenny",
+    "ludwig": "lutz", "magdalena": "lena magda", "margaret": "maggie peggy meg greta marge", "martha": "marty", "matthew": "matt", "matthias": "matze matt matthes", "mehmet": "memo", "michael": "mike mick michi micha",
+    "natalia": "natasha", "nathaniel": "nate nat", "nicholas": "nick nicky", "nikolaus": "nick klaus niko nikolas niklas nico", "olamide": "ola", "pamela": "pam", "patricia": "pat patty trish tricia", "patrick": "pat paddy",
+    "peter": "pete", "philip": "phil", "raymond": "ray", "rebecca": "becky", "reinhard": "reini", "richard": "rick dick rich ricky", "robert": "bob rob bobby robbie bert", "ronald": "ron ronnie", "rudolf": "rudi", "samantha": "sam",
+    "samuel": "sam sammy", "sebastian": "basti seb", "stephen": "steve", "susanne": "susi susan sue sanne", "sylvester": "sly", "theodore": "ted teddy theo", "theresa": "tess teresa terry resi", "thomas": "tom tommy",
+    "timothy": "tim timmy", "tomasz": "tomek tom", "ulrich": "uli ulli", "victoria": "vicky tori", "vincent": "vince vinny", "walter": "walt wally", "wilhelm": "willi wim", "william": "will bill billy liam willy", "wolfgang": "wolf wolfi",
 }
-GIVEN = frozenset(NICKNAMES) | frozenset(n for v in NICKNAMES.values() for n in v.split())
-#: (nickname, name)
-_NICK = {(n, k) for k, v in NICKNAMES.items() for n in v.split()}
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """What is known of words beforehand. Each table is the caller's to replace; empty ones are allowed."""
+
+    legal: frozenset = LEGAL
+    units: frozenset = UNITS
+    nicknames: tuple = tuple(NICKNAMES.items())
+
+    @functools.cached_property
+    def nicks(self) -> frozenset:
+        """(nickname, name)"""
+        return frozenset((fold(n), fold(k)) for k, v in self.nicknames for n in v.split())
+
+    @functools.cached_property
+    def given(self) -> frozenset:
+        return frozenset(x for pair in self.nicks for x in pair)
+
+    def nick(self, a: str, b: str) -> bool:
+        return (a, b) in self.nicks or (b, a) in self.nicks
+
+
 _LETTERS = str.maketrans({"ß": "ss", "ø": "o", "ł": "l", "đ": "d", "æ": "ae", "œ": "oe", "ı": "i"})
 
 
@@ -59,14 +86,17 @@ def fold(text: str) -> str:
     return "".join(c for c in t if not unicodedata.combining(c))
 
 
-def tokens(name: str) -> list[str]:
+DEFAULT = Lexicon()
+
+
+def tokens(name: str, lex: Lexicon = DEFAULT) -> list[str]:
     """Folded tokens in order of occurrence."""
     main, _, unit = name.partition(" - ")
-    if unit and not set(re.findall(r"[^\W_]+", fold(unit))) <= UNITS:
+    if unit and not set(re.findall(r"[^\W_]+", fold(unit))) <= lex.units:
         main = name
-    main = re.sub(r"\b(?:[^\W\d_]\.\s?){2,}(?:[^\W\d_]\b)?", lambda m: " " if fold(re.sub(r"[.\s]", "", m[0])) in LEGAL else m[0], main)
+    main = re.sub(r"\b(?:[^\W\d_]\.\s?){2,}(?:[^\W\d_]\b)?", lambda m: " " if fold(re.sub(r"[.\s]", "", m[0])) in lex.legal else m[0], main)
     main = re.sub(r"(?<=[^\W\d_A-Z])(?=[A-Z])", " ", main.replace("mbH", "mbh"))
-    out = [t for t in re.findall(r"[^\W_]+", fold(main)) if t not in LEGAL]
+    out = [t for t in re.findall(r"[^\W_]+", fold(main)) if t not in lex.legal]
     return out or re.findall(r"[^\W_]+", fold(name)) or [name.strip().lower()]
 
 
@@ -92,11 +122,11 @@ def _plain(t: str) -> str:
 
 
 @functools.lru_cache(maxsize=500_000)
-def alike(a: str, b: str) -> float:
+def alike(a: str, b: str, lex: Lexicon = DEFAULT) -> float:
     """Similarity of two tokens in 0..1."""
     if a == b:
         return 1.0
-    if (a, b) in _NICK or (b, a) in _NICK:
+    if lex.nick(a, b):
         return 0.95
     if len(a) > len(b):
         a, b = b, a
@@ -124,7 +154,7 @@ def short_for(a: str, b: str) -> bool:
 STRONG, A_SHORT, B_SHORT, EITHER = 3, 1, 2, 4
 
 
-def relation(a: list[str], wa: list[float], b: list[str], wb: list[float], least: float) -> int:
+def relation(a: list[str], wa: list[float], b: list[str], wb: list[float], least: float, lex: Lexicon = DEFAULT) -> int:
     """0, or how two names belong together: strongly, or with one of them a short form of the other.
 
     ``wa``, ``wb``: weights of the tokens; negative for given names and for abbreviations of common words, which
@@ -132,7 +162,7 @@ def relation(a: list[str], wa: list[float], b: list[str], wb: list[float], least
     """
     if "".join(a) == "".join(b):
         return STRONG
-    scored = sorted(((s, abs(wa[i]) + abs(wb[j]), -i, -j) for i, x in enumerate(a) for j, y in enumerate(b) if (s := alike(x, y)) > 0), reverse=True)
+    scored = sorted(((s, abs(wa[i]) + abs(wb[j]), -i, -j) for i, x in enumerate(a) for j, y in enumerate(b) if (s := alike(x, y, lex)) > 0), reverse=True)
     top_a = max((w for t, w in zip(a, wa) if len(t) > 2), default=9e9)
     top_b = max((w for t, w in zip(b, wb) if len(t) > 2), default=9e9)
     left_a, left_b = set(range(len(a))), set(range(len(b)))
@@ -147,13 +177,13 @@ def relation(a: list[str], wa: list[float], b: list[str], wb: list[float], least
         left_a.discard(i)
         left_b.discard(j)
         got += s * max(u, v) ** 2 if 1 in (len(x), len(y)) else s * (u * u + v * v) / 2
-        if s >= 0.95 and (x, y) not in _NICK and (y, x) not in _NICK:
+        if s >= 0.95 and not lex.nick(x, y):
             key_a |= wa[i] >= top_a
             key_b |= wb[j] >= top_b
         if slips(x, y) < 2 and len(x) > 1 and len(y) > 1:
             continue
-        short_a |= len(x) == 1 < len(y) or (x, y) in _NICK
-        short_b |= len(y) == 1 < len(x) or (y, x) in _NICK
+        short_a |= len(x) == 1 < len(y) or (x, y) in lex.nicks
+        short_b |= len(y) == 1 < len(x) or (y, x) in lex.nicks
     if not (key_a and key_b) or (left_a and left_b):
         return 0
     all_a, all_b = got + sum(wa[i] ** 2 for i in left_a), got + sum(wb[j] ** 2 for j in left_b)
@@ -176,10 +206,13 @@ def party_names(df: DataFrame, columns: list[str]) -> DataFrame:
     return each.select(name.alias("name")).where(F.col("name") != "").groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        t = [tokens(x) for x in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t, pa.list_(pa.string()))], names=["name", "tokens"])
+def _tokenise(lex: Lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = [tokens(x, lex) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t, pa.list_(pa.string()))], names=["name", "tokens"])
+
+    return run
 
 
 def _near_tokens(words: DataFrame) -> DataFrame:
@@ -231,27 +264,27 @@ def candidates(info: DataFrame) -> DataFrame:
     return pairs.unionByName(whole.withColumnRenamed("name", "name_a").join(whole.withColumnRenamed("name", "name_b"), "k").where("name_a < name_b").select("name_a", "name_b")).distinct()
 
 
-def link_names(names: DataFrame, least: float = 0.6, common_names: int = 200) -> DataFrame:
+def link_names(names: DataFrame, least: float = 0.6, lex: Lexicon = DEFAULT) -> DataFrame:
     """``name_a, name_b, kind``: pairs of distinct names (``names``: name) that the similarity verifies.
 
     Pairs are between similar texts, not yet closed over classes. Null and empty names give nothing; a single name
     gives nothing; repeated names count once; very long names are tokens like others.
     """
     spark = names.sparkSession
-    base = cut(names.select("name").where(F.col("name").isNotNull() & (F.col("name") != "")).distinct().mapInArrow(_tokenise, "name string, tokens array<string>"))
+    base = cut(names.select("name").where(F.col("name").isNotNull() & (F.col("name") != "")).distinct().mapInArrow(_tokenise(lex), "name string, tokens array<string>"))
     n = base.count()
     if n < 2:
         return spark.createDataFrame([], "name_a string, name_b string, kind int")
     words = base.select("name", F.explode(F.array_distinct("tokens")).alias("token"))
     df = cut(words.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
     total = math.log(n + 1)
-    often = min(common_names, max(12, int(n**0.4)))
-    common = [r["token"] for r in df.where(F.col("df") > often).orderBy(F.desc("df"), "token").limit(COMMON).collect()]
+    # the tokens of a share are at most the tokens of a name over that share, however many names there are
+    common = [r["token"] for r in df.where(F.col("df") > max(COMMON_LEAST, COMMON_SHARE * n)).select("token").collect()]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def weight(token: str, d: int) -> float:
             w = max(0.05, total - math.log(d))
-            return -w if token in GIVEN or (len(token) <= 5 and any(short_for(token, c) for c in common)) else w
+            return -w if token in lex.given or (len(token) <= 5 and any(short_for(token, c) for c in common)) else w
 
         for b in batches:
             w = list(map(weight, b.column("token").to_pylist(), b.column("df").to_pylist()))
@@ -266,7 +299,7 @@ def link_names(names: DataFrame, least: float = 0.6, common_names: int = 200) ->
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = b.to_pydict()
-            kind = [relation(ta, wa, tb, wb, least) for ta, wa, tb, wb in zip(cols["ta"], cols["wa"], cols["tb"], cols["wb"])]
+            kind = [relation(ta, wa, tb, wb, least, lex) for ta, wa, tb, wb in zip(cols["ta"], cols["wa"], cols["tb"], cols["wb"])]
             out = pa.RecordBatch.from_arrays([b.column("name_a"), b.column("name_b"), pa.array(kind, pa.int32())], names=["name_a", "name_b", "kind"])
             yield out.filter(pa.array([k > 0 for k in kind], pa.bool_()))
 
@@ -287,15 +320,31 @@ def components(links: DataFrame) -> DataFrame:
         label = jump.select("name", F.col("next").alias("class"))
 
 
+def _weak_links(links: DataFrame, label: DataFrame) -> DataFrame:
+    """``s, t, from, to``: names that say less (``s``) than others (``t``), and the classes of both."""
+    a, b = F.struct(F.col("name_a").alias("s"), F.col("name_b").alias("t")), F.struct(F.col("name_b").alias("s"), F.col("name_a").alias("t"))
+    weak = links.where(F.col("kind") != STRONG).select(F.explode(F.when(F.col("kind") == A_SHORT, F.array(a)).when(F.col("kind") == B_SHORT, F.array(b)).otherwise(F.array(a, b))).alias("x")).select("x.s", "x.t")
+    return weak.join(label.select(F.col("name").alias("s"), F.col("class").alias("from")), "s").join(label.select(F.col("name").alias("t"), F.col("class").alias("to")), "t").where(F.col("from") != F.col("to"))
+
+
+def class_links(names: DataFrame, links: DataFrame) -> DataFrame:
+    """``class_a, class_b, n_links``: verified links between names of different classes, all of them.
+
+    A short form that fits several parties joins one class only (``classes``); what else it fits is told here.
+    """
+    of = names.select("name").join(classes(names, links), "name", "left").select("name", F.coalesce("class", "name").alias("class"))
+    side = lambda x: of.select(F.col("name").alias(f"name_{x}"), F.col("class").alias(f"class_{x}"))
+    d = links.join(side("a"), "name_a").join(side("b"), "name_b").where(F.col("class_a") != F.col("class_b"))
+    return d.groupBy(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).agg(F.count(F.lit(1)).alias("n_links"))
+
+
 def classes(names: DataFrame, links: DataFrame) -> DataFrame:
     """``name, class``: linked names with the label of their class."""
     strong = components(links.where(F.col("kind") == STRONG))
     label = names.select("name").join(strong, "name", "left").select("name", F.coalesce("class", "name").alias("class"))
     label = cut(label)
     size = label.join(names, "name").groupBy("class").agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("n_rows").alias("rows")).alias("size"))
-    a, b = F.struct(F.col("name_a").alias("s"), F.col("name_b").alias("t")), F.struct(F.col("name_b").alias("s"), F.col("name_a").alias("t"))
-    weak = links.where(F.col("kind") != STRONG).select(F.explode(F.when(F.col("kind") == A_SHORT, F.array(a)).when(F.col("kind") == B_SHORT, F.array(b)).otherwise(F.array(a, b))).alias("x")).select("x.s", "x.t")
-    weak = weak.join(label.select(F.col("name").alias("s"), F.col("class").alias("from")), "s").join(label.select(F.col("name").alias("t"), F.col("class").alias("to")), "t").where(F.col("from") != F.col("to"))
+    weak = _weak_links(links, label)
     weak = weak.join(size.withColumnRenamed("class", "to"), "to")
     best = weak.groupBy("from").agg(F.max(F.struct("size.n", "size.rows", "to")).alias("m")).select(F.col("from").alias("name_a"), F.col("m.to").alias("name_b"))
     joined = components(best).select(F.col("class").alias("root"), F.col("name").alias("class"))
@@ -317,3 +366,9 @@ def party_classes(df: DataFrame, columns: list[str]) -> DataFrame:
     links = cut(link_names(names))
     n = links.select(F.explode(F.array("name_a", "name_b")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n_links"))
     return classes(names, links).join(n, "name")
+
+
+def party_links(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Links between parties that are not one class."""
+    names = cut(party_names(df, columns))
+    return class_links(names, cut(link_names(names)))

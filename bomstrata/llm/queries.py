@@ -35,6 +35,10 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.party_classes(table(spark, sf_dir, "spdx_package"), ["supplier", "originator"])
 
 
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.party_links(table(spark, sf_dir, "spdx_package"), ["supplier", "originator"])
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
@@ -60,7 +64,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.when(F.col("lost"), "").otherwise(F.md5(F.encode("restored", "UTF-8"))).alias("restored_md5"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_misses, p6_found, p6_classes, p8_found, p9_found, p9_shares, p9_blocks, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_misses, p6_found, p6_classes, p6_links, p8_found, p9_found, p9_shares, p9_blocks, p10_found)}
 #: The verdict on a source does not depend on the tokenizer, so characters stand in for tokens.
 ORACLE: dict[str, str] = {
     "p9_found": """
