@@ -43,6 +43,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.hierarchies(table(spark, sf_dir, "cdx_dependency"), table(spark, sf_dir, "cdx_component"))
 
 
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.descendants(table(spark, sf_dir, "cdx_dependency"), table(spark, sf_dir, "cdx_component"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flatten_items(table(spark, sf_dir, "raw_sbom"))
 
@@ -51,7 +55,7 @@ def p7_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flatten_owners(table(spark, sf_dir, "raw_sbom"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_footers, p3_found, p4_found, p4_report, p5_found, p7_found, p7_owners)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_footers, p3_found, p4_found, p4_report, p5_found, p5_descendants, p7_found, p7_owners)}
 
 _TOKENS = "('', 'noassertion', 'none', 'n/a', 'unknown')"
 
@@ -123,6 +127,14 @@ items AS (
   UNION ALL SELECT raw_id, node_path, 'license', pos, CASE WHEN x IS NOT NULL THEN 'expression' WHEN i IS NOT NULL THEN 'id' ELSE 'name' END, coalesce(x, i, n) FROM lic)
 SELECT * FROM items WHERE item_key IS NOT NULL AND item_value IS NOT NULL"""
 
+_REACH = """
+WITH RECURSIVE refs AS (SELECT DISTINCT sbom_id, bom_ref FROM cdx_component WHERE bom_ref IS NOT NULL),
+raw AS (SELECT sbom_id, dep_ref AS src, unnest(depends_on) AS dst FROM cdx_dependency),
+ends AS (SELECT DISTINCT sbom_id, node FROM (SELECT sbom_id, dep_ref AS node FROM cdx_dependency UNION ALL SELECT sbom_id, dst FROM raw)),
+nodes AS (SELECT e.sbom_id, e.node FROM ends e JOIN refs r ON r.sbom_id = e.sbom_id AND r.bom_ref = e.node),
+edges AS (SELECT DISTINCT r.sbom_id, r.src, r.dst FROM raw r JOIN nodes a ON a.sbom_id = r.sbom_id AND a.node = r.src JOIN nodes b ON b.sbom_id = r.sbom_id AND b.node = r.dst),
+reach(sbom_id, anc, node) AS (SELECT sbom_id, src, dst FROM edges UNION SELECT r.sbom_id, r.anc, e.dst FROM reach r JOIN edges e ON e.sbom_id = r.sbom_id AND e.src = r.node)"""
+
 ORACLE = {
     "p1_profile": " UNION ALL ".join(map(_profile_sql, _GOOD)),
     "p7_found": _ITEMS,
@@ -132,13 +144,8 @@ ORACLE = {
         f"SELECT '{c}' AS column_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count({c}) AS BIGINT) AS n_nulls, min({c}) AS low, max({c}) AS high, count(DISTINCT {c}) AS n_distinct, CAST(0 AS BIGINT) AS n_unsettled FROM spdx_package"
         for c in ("version_info", "purl", "supplier")
     ),
-    "p5_found": """
-WITH RECURSIVE refs AS (SELECT DISTINCT sbom_id, bom_ref FROM cdx_component WHERE bom_ref IS NOT NULL),
-raw AS (SELECT sbom_id, dep_ref AS src, unnest(depends_on) AS dst FROM cdx_dependency),
-ends AS (SELECT DISTINCT sbom_id, node FROM (SELECT sbom_id, dep_ref AS node FROM cdx_dependency UNION ALL SELECT sbom_id, dst FROM raw)),
-nodes AS (SELECT e.sbom_id, e.node FROM ends e JOIN refs r ON r.sbom_id = e.sbom_id AND r.bom_ref = e.node),
-edges AS (SELECT DISTINCT r.sbom_id, r.src, r.dst FROM raw r JOIN nodes a ON a.sbom_id = r.sbom_id AND a.node = r.src JOIN nodes b ON b.sbom_id = r.sbom_id AND b.node = r.dst),
-reach(sbom_id, anc, node) AS (SELECT sbom_id, src, dst FROM edges UNION SELECT r.sbom_id, r.anc, e.dst FROM reach r JOIN edges e ON e.sbom_id = r.sbom_id AND e.src = r.node),
+    "p5_descendants": _REACH + " SELECT sbom_id, anc AS ancestor_ref, node AS node_ref FROM reach WHERE anc <> node",
+    "p5_found": _REACH + """,
 roots AS (SELECT n.* FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.sbom_id = n.sbom_id AND e.dst = n.node)),
 walk(sbom_id, node, root_ref, depth, node_path) USING KEY (sbom_id, node) AS (
   SELECT sbom_id, node, node, 0, node FROM roots

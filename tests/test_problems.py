@@ -137,7 +137,7 @@ def test_walk_against_search(edges):
         return
     code = {n: i for i, n in enumerate(nodes)}
     e = np.array([(code[a], code[b]) for a, b in edges], np.int64).reshape(-1, 2)
-    kind, top, depth, count, path = hierarchy.walk(np.zeros(len(nodes), np.int64), np.array(nodes, object), e[:, 0], e[:, 1])
+    kind, top, depth, count, path, _ = hierarchy.walk(np.zeros(len(nodes), np.int64), np.array(nodes, object), e[:, 0], e[:, 1])
     got = {n: (kind[i], top[i], int(depth[i]), int(count[i]), path[i]) for n, i in code.items()}
     assert got == _brute(nodes, edges)
 
@@ -154,6 +154,19 @@ def test_hierarchy_ways_agree(spark):
     assert {r[1]: (r[2], r[3], r[4], r[5], r[6]) for r in near if r[0] == 1} == want
     assert (2, "r", "placed", "r", 0, 0, "r") in near
     assert hierarchy.hierarchies(deps.limit(0), comps).count() == 0
+    below = {tuple(r) for r in hierarchy.descendants(deps, comps).collect()}
+    assert below == {tuple(r) for r in hierarchy.descendants(deps, comps, local_rows=3).collect()}
+    assert {r[1]: r[5] for r in near if r[0] == 1} == {v: sum(p[:2] == (1, v) for p in below) for v in {r[1] for r in near if r[0] == 1}}
+
+
+def test_documents_are_walked_together_up_to_a_number_of_pairs(monkeypatch):
+    rows = [(d, None, f"n{i}", f"n{i + 1}") for d in range(6) for i in range(30)] + [(d, f"n{i}", None, None) for d in range(6) for i in range(31)]
+    t = pa.Table.from_pylist([dict(zip(("sbom_id", "known", "src", "dst"), r)) for r in sorted(rows, key=lambda r: r[0])])
+    whole = pa.Table.from_batches(hierarchy._solve(t, False)).to_pylist()
+    monkeypatch.setattr(hierarchy, "_PAIRS", 2000)
+    parts = list(hierarchy._solve(t, False))
+    assert [p.num_rows for p in parts] == [62, 62, 62] and pa.Table.from_batches(parts).to_pylist() == whole
+    assert sum(p.num_rows for p in hierarchy._solve(t, True)) == 6 * 31 * 30 // 2
 
 
 # --- nested records
