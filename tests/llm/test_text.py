@@ -54,6 +54,33 @@ def test_map_to_list(spark):
     assert {r["license_id"] for r in canonical.map_to_list(df, ref.limit(0), "id", "t").collect()} == {""}
 
 
+CITIES = ["Zürich", "Genève", "Saint-Étienne", "São Paulo", "Frankfurt am Main", "Frankfurt (Oder)", "Bern", "Berlin", "Llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogogoch", "Newcastle upon Tyne"]
+JOBS = ["software engineer", "software engineering manager", "data scientist", "accountant", "account manager", "registered nurse"]
+
+
+@pytest.mark.parametrize("most", [50_000, 3])
+def test_cities_and_job_titles(spark, monkeypatch, most):
+    # a small bound takes the way of long lists; both ways give the same
+    monkeypatch.setattr(canonical, "MAX_ENTRIES", most)
+    cases = {
+        "zurich": "Zürich", "Geneve": "Genève", "saint etienne": "Saint-Étienne", "Sao Paolo": "São Paulo", "FRANKFURT  AM MAIN": "Frankfurt am Main", "Frankfrut am Main": "Frankfurt am Main", "Berlni": "Berlin", "Bern": None, "Bexn": "Bern",
+        "Llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogogohc": "Llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogogoch", "Paris": "", "n/a": None, "Newcastle": "", "y" * 30_000: "",
+        "sofware enginer": "software engineer", "data scientits": "data scientist", "acountant": "accountant", "nurse": "",
+    }
+    names_ = CITIES + JOBS
+    ref = spark.createDataFrame([(f"id:{n}", n) for n in names_], "entry_id string, name string")
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*cases, None, "zurich"])], "k long, t string, entry_id string")
+    got = [tuple(r) for r in canonical.map_values(df, ref, "k", "t").collect()]
+    assert {t: e.removeprefix("id:") for _, t, e in got} == {t: w for t, w in cases.items() if w is not None} and sum(t == "zurich" for _, t, _ in got) == 2
+    assert {e for _, _, e in [tuple(r) for r in canonical.map_values(df, ref.limit(0), "k", "t").collect()]} == {""}
+
+
+def test_frequency_breaks_ties(spark):
+    ref = spark.createDataFrame([("1", "marten"), ("2", "morten")], "entry_id string, name string")
+    df = spark.createDataFrame([(i, "morten") for i in range(3)] + [(9, "mxrten")], "k long, t string")
+    assert [tuple(r) for r in canonical.map_values(df, ref, "k", "t").collect()] == [(9, "mxrten", "2")]
+
+
 # --- names
 
 
