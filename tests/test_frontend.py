@@ -9,6 +9,7 @@ from bomstrata.frontend.cli import main
 from bomstrata.frontend.run import UnreadableError, run
 from bomstrata.frontend.schema_check import SchemaChecker
 from bomstrata.operators import licenses, overlays, validators
+from bomstrata.operators.schema_gate import structural_errors
 
 GOOD = {
     "bomFormat": "CycloneDX", "specVersion": "1.6", "metadata": {"timestamp": "2026-01-01T00:00:00Z", "authors": [{"name": "Ann"}]},
@@ -108,3 +109,42 @@ def test_registered_validators_and_policy_ranks():
     n = licenses.Normaliser(licenses.LicenseTables())
     p = licenses.Policy({("", "MIT"): "approve", ("", "ISC"): "allow", ("", "Zlib"): "contaminate", ("", "EPL-2.0"): "deny", ("", "X11"): "odd"})
     assert [p.decide(n, t, "x") for t in ("MIT OR ISC", "MIT AND ISC", "Zlib AND EPL-2.0", "Zlib OR EPL-2.0", "X11 OR MIT", "X11 AND MIT")] == ["approve", "allow", "deny", "contaminate", "odd", "approve"]
+
+
+@pytest.mark.parametrize(("change", "said"), [
+    ({"components": [{"type": "nope", "name": "a"}]}, "components[0].type"), ({"components": [{"type": "library"}]}, "components[0].name: is required"), ({"components": {}}, "components: is no array"),
+    ({"serialNumber": "urn:uuid:1"}, "serialNumber"), ({"extra": 1}, "extra: is unknown"), ({"components": [{"type": "file", "name": "a", "hashes": [{"alg": "SHA256", "content": "a" * 64}]}]}, "hashes[0].alg"),
+    ({"components": [{"type": "file", "name": "a", "hashes": [{"alg": "SHA-256", "content": "a" * 63}]}]}, "hashes[0].content"), ({"dependencies": [{}]}, "dependencies[0].ref: is required"), ({"version": 0}, "version"),
+    ({"components": [{"type": "library", "name": "a", "bom-ref": "x"}, {"type": "library", "name": "b", "bom-ref": "x"}]}, "not unique"), ({"components": [{"type": "library", "name": "a", "licenses": [{"license": {"id": "MIT", "name": "MIT"}}]}]}, "not both"),
+    ({"metadata": {"lifecycles": [{"phase": "never"}]}}, "lifecycles[0].phase"), ({"components": [{"type": "library", "name": "a", "externalReferences": [{"type": "rfc-9116"}]}]}, "url: is required"),
+])
+def test_cyclonedx_shapes(change, said):
+    assert any(said in e for e in structural_errors(GOOD | change, "cyclonedx", "1.6"))
+
+
+def test_shapes_follow_the_declared_version():
+    doc = {"bomFormat": "CycloneDX", "specVersion": "1.3", "version": 1, "components": [{"type": "library", "name": "a", "version": "1"}]}
+    assert not structural_errors(doc, "cyclonedx", "1.3") and not structural_errors(GOOD, "cyclonedx", "1.6")
+    bare = doc | {"components": [{"type": "library", "name": "a"}]}
+    assert structural_errors(bare, "cyclonedx", "1.3") and not structural_errors(bare, "cyclonedx", "1.4")
+    crypto = doc | {"components": [{"type": "cryptographic-asset", "name": "a"}]}
+    assert structural_errors(crypto, "cyclonedx", "1.5") and not structural_errors(crypto, "cyclonedx", "1.6")
+    assert structural_errors({k: v for k, v in doc.items() if k != "version"}, "cyclonedx", "1.4") and structural_errors(doc, "cyclonedx", "9.9") == ["unsupported CycloneDX version '9.9'"]
+
+
+SPDX_OK = {
+    "spdxVersion": "SPDX-2.3", "SPDXID": "SPDXRef-DOCUMENT", "dataLicense": "CC0-1.0", "name": "n", "documentNamespace": "https://x.example/n", "creationInfo": {"created": "2026-01-01T00:00:00Z", "creators": ["Tool: t"]},
+    "packages": [{"SPDXID": "SPDXRef-p", "name": "p", "downloadLocation": "NONE", "checksums": [{"algorithm": "SHA1", "checksumValue": "0" * 40}]}],
+    "relationships": [{"spdxElementId": "SPDXRef-DOCUMENT", "relationshipType": "DESCRIBES", "relatedSpdxElement": "SPDXRef-p"}],
+}
+
+
+@pytest.mark.parametrize(("change", "said"), [
+    ({"dataLicense": "MIT"}, "CC0-1.0"), ({"documentNamespace": "no uri"}, "absolute URI"), ({"creationInfo": {"created": "today", "creators": ["Ann"]}}, "creators[0]"), ({"packages": [{"SPDXID": "p", "name": "p", "downloadLocation": "NONE"}]}, "SPDX identifier"),
+    ({"packages": [SPDX_OK["packages"][0] | {"checksums": [{"algorithm": "SHA1", "checksumValue": "0" * 39}]}]}, "malformed"), ({"packages": [SPDX_OK["packages"][0] | {"supplier": "Acme"}]}, "supplier"),
+    ({"relationships": [{"spdxElementId": "SPDXRef-x", "relationshipType": "CONTAINS", "relatedSpdxElement": "SPDXRef-p"}]}, "no element"), ({"creationInfo": None}, "creationInfo: is required"),
+])
+def test_spdx_shapes(change, said):
+    assert not structural_errors(SPDX_OK, "spdx", "2.3")
+    assert any(said in e for e in structural_errors(SPDX_OK | change, "spdx", "2.3"))
+    assert any("copyrightText" in e for e in structural_errors(SPDX_OK, "spdx", "2.2"))
