@@ -28,6 +28,10 @@ MAPS = {"document": (), "component": ("hashes",), "file": ("hashes",)}
 CONTEXT = ("sbom_format", "spec_version", "version_tuple", "signed", "vex", "n_components", "n_files", "n_refs", "n_orphans")
 
 
+#: Documents whose ids (8 bytes each) are broadcast to tell targets of known documents; more are joined by shuffle.
+BROADCAST_DOCUMENTS = 500_000
+
+
 @dataclass
 class Corpus:
     """``documents``: doc_id and document fields, ``schema_errors``; ``components`` and ``files``: doc_id, pos and their
@@ -134,8 +138,8 @@ class Plan:
         """The findings on the targets of ``df`` (doc_id, pos, path); without ``passing`` only what did not pass."""
         each = ", ".join(f"named_struct('k', {k}, 'reason', {c.reason}, 'there', coalesce({c.there}, false))" for c, k in self.checks.items())
         rules = f"array({', '.join(f'array({chr(44).join(r)})' for r in self.rules)})"
-        seen = f"array({each})" if passing else f"filter(array({each}), f_ -> f_.reason IS NOT NULL)"
-        d = df.select("doc_id", "pos", "at", F.expr(f"explode({seen})").alias("f"))
+        d = df.select("doc_id", "pos", "at", F.expr(f"explode(array({each}))").alias("f"))  # no higher-order function around the checks: it would keep them out of generated code
+        d = d if passing else d.where(F.col("f.reason").isNotNull())
         d = d.select("doc_id", "pos", "at", "f", F.expr(f"explode(element_at({rules}, f.k + 1))").alias("r"))
         bad = "CASE r.severity WHEN 'MUST' THEN 'FAIL' WHEN 'MUST_WHERE_AVAILABLE' THEN IF(f.there, 'FAIL', 'WARN') ELSE 'WARN' END"
         return d.select(
@@ -197,6 +201,8 @@ def findings(c: Corpus, profiles: list[Profile], policy: licenses.Policy | None
                 plans["document"].add(compile_check(r, r.scope), *info, "dependencies" if r.scope == "dependency" else "document")
     docs = cut(c.documents.join(context(c).select("doc_id", F.struct(*CONTEXT).alias("_c")), "doc_id"))  # a row per document, used by each part
     ids = docs.select("doc_id").distinct()
+    if docs.count() <= BROADCAST_DOCUMENTS:
+        ids = F.broadcast(ids)
     out = [plans["document"].over(docs.select("*", F.lit(-1).cast("long").alias("pos"), F.lit("document").alias("at")), True)]
     for scope, table, none in (("component", c.components, "no components in SBOM"), ("file", c.files, "no file inventory in SBOM")):
         plan = plans[scope]
