@@ -15,6 +15,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.find_cases(spark, f"{sf_dir}/spdx_package.parquet", "pkg_row_id", "load_no")
 
 
+def p1_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_found(spark, sf_dir).where("case_kind = 'violation'").select("column_name", "case_key")
+
+
 def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile(spark, f"{sf_dir}/spdx_package.parquet", "load_no")
 
@@ -55,7 +59,7 @@ def p7_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flatten_owners(table(spark, sf_dir, "raw_sbom"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_footers, p3_found, p4_found, p4_report, p5_found, p5_descendants, p7_found, p7_owners)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_violations, p1_profile, p1_footers, p3_found, p4_found, p4_report, p5_found, p5_descendants, p7_found, p7_owners)}
 
 _TOKENS = "('', 'noassertion', 'none', 'n/a', 'unknown')"
 
@@ -135,9 +139,20 @@ nodes AS (SELECT e.sbom_id, e.node FROM ends e JOIN refs r ON r.sbom_id = e.sbom
 edges AS (SELECT DISTINCT r.sbom_id, r.src, r.dst FROM raw r JOIN nodes a ON a.sbom_id = r.sbom_id AND a.node = r.src JOIN nodes b ON b.sbom_id = r.sbom_id AND b.node = r.dst),
 reach(sbom_id, anc, node) AS (SELECT sbom_id, src, dst FROM edges UNION SELECT r.sbom_id, r.anc, e.dst FROM reach r JOIN edges e ON e.sbom_id = r.sbom_id AND e.src = r.node)"""
 
+#: Owners with their parents; members that are no text are null.
+_OWNER_ROWS = """,
+named AS (
+  SELECT raw_id, node_path, 'component' AS kind, node, 'bom-ref' AS r, 'name' AS n, 'version' AS v FROM own
+  UNION ALL SELECT raw_id, node_path, CASE WHEN node_path LIKE 'packages%' THEN 'package' ELSE 'file' END, node, 'SPDXID', CASE WHEN node_path LIKE 'packages%' THEN 'name' ELSE 'fileName' END, CASE WHEN node_path LIKE 'packages%' THEN 'versionInfo' ELSE 'version' END FROM spdx)
+SELECT raw_id, node_path, CASE WHEN node_path = 'metadata.component' THEN '' ELSE regexp_replace(node_path, '\\.?[a-z]+\\[[0-9]+\\]$', '') END AS parent_path, CAST(coalesce(nullif(regexp_extract(node_path, '\\[([0-9]+)\\]$', 1), ''), '0') AS INT) AS node_pos, kind AS node_kind,
+  CASE json_type(node, '$."' || r || '"') WHEN 'VARCHAR' THEN node->>('$."' || r || '"') END AS node_ref, CASE json_type(node, '$."' || n || '"') WHEN 'VARCHAR' THEN node->>('$."' || n || '"') END AS node_name, CASE json_type(node, '$."' || v || '"') WHEN 'VARCHAR' THEN node->>('$."' || v || '"') END AS node_version
+FROM named"""
+
 ORACLE = {
     "p1_profile": " UNION ALL ".join(map(_profile_sql, _GOOD)),
+    "p1_violations": " UNION ALL ".join(f"SELECT '{c}' AS column_name, pkg_row_id AS case_key FROM spdx_package WHERE {c} IS NOT NULL AND NOT (lower(trim({c}, E' \\t\\n\\r')) IN {_TOKENS}) AND NOT {_GOOD[c]}" for c in _GOOD),
     "p7_found": _ITEMS,
+    "p7_owners": _ITEMS[: _ITEMS.index(",\nlic AS")] + _OWNER_ROWS,
     "p4_found": _ORPHANS + "SELECT * FROM judged WHERE outcome <> ''",
     "p4_report": _ORPHANS + "SELECT 'cdx_dependency' AS table_name, field_name, outcome, period, count(*) AS n_references, count(DISTINCT target_ref) AS n_targets FROM judged WHERE outcome <> '' GROUP BY ALL",
     "p1_footers": " UNION ALL ".join(
