@@ -34,20 +34,24 @@ CHUNK_ROWS = 50_000
 
 
 @functools.lru_cache(maxsize=4)
-def encoding(path: str):
-    """The tokenizer of a file of ranks."""
+def encoding(data: bytes):
+    """The tokenizer of a file of ranks, given as its content."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """``doc_id, source, n_tokens`` of each document with a source; null texts have 0 tokens."""
+    """``doc_id, source, n_tokens`` of each document with a source; null texts have 0 tokens.
+
+    The file of ranks is read on the driver and broadcast: executors need no copy of it, and a vocabulary is bounded.
+    """
+    with open(path, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        enc = encoding(ranks.value)
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in enc.encode_ordinary_batch(texts, num_threads=1)], pa.int64())], names=["doc_id", "source", "n_tokens"])
