@@ -7,7 +7,7 @@ parents as sorted arrays and probes the following batches of references by binar
 confirmed on the full key, so a collision can never give a wrong answer.
 
 The number of ranges follows the number of parents (``parents_per_range``), so a task never holds more than
-one range of them. A range with far more references than the mean (a key that a third of all rows name) is
+one range of them. Every range with more references than ``ROWS_PER_TASK`` (a key that a third of all rows name) is
 split over salts, and only its parents are repeated, once per salt. At most ``HOT_RANGES`` ranges can exceed
 the threshold, so the table of salts has a fixed bound and is broadcast.
 """
@@ -22,8 +22,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: No more than this many ranges can hold over a thousandth of all references each.
-HOT_RANGES = 1000
+from bomstrata.session import cut
+
+#: References of a task, and ranges that can have more: their number times that of the references of each is no more than
+#: all references, so where there are more than the product, tasks hold more.
+ROWS_PER_TASK, HOT_RANGES = 100_000, 1_000_000
 
 _PROBE = "row_id long, field_name string, target_ref string, outcome string, period string"
 
@@ -134,10 +137,10 @@ def find_orphans(deps: DataFrame, components: DataFrame, docs: DataFrame, parent
     bits = max(4, int(np.ceil(np.log2(max(1, rows / parents_per_range)))) + 4)
     ranged = lambda d: d.withColumn("h", F.xxhash64("sbom_id", "ref")).withColumn("range", F.shiftrightunsigned("h", 64 - bits))
     refs, parents = ranged(refs), ranged(parents)
-    counts = {r["range"]: r["count"] for r in refs.groupBy("range").count().where(F.col("count") > 100_000).orderBy(F.desc("count")).limit(HOT_RANGES).collect()}
-    total = sum(counts.values())
-    hot = [(k, int(np.ceil(v / 100_000))) for k, v in counts.items() if v * HOT_RANGES > total]
-    salts = F.broadcast(spark.createDataFrame(hot or [(-1, 1)], "range long, n int"))
+    # every range with more references than a task should hold is split
+    counts = cut(refs.groupBy("range").count())
+    most = max(ROWS_PER_TASK, -(-(counts.agg(F.sum("count")).first()[0] or 0) // HOT_RANGES))
+    salts = F.broadcast(counts.where(F.col("count") > most).select("range", F.ceil(F.col("count") / most).cast("int").alias("n")))  # HOT_RANGES rows at most
     n = F.coalesce(F.col("n"), F.lit(1))
     refs = refs.join(salts, "range", "left").withColumn("salt", F.pmod(F.xxhash64("row_id", "field_name", "target_ref"), n).cast("int"))
     parents = parents.join(salts, "range", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))

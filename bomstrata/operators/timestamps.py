@@ -168,7 +168,7 @@ def normalise_timestamps(df: DataFrame, text: str, site_zone: str, key: str) ->
     impossible one, or an unknown zone in the text).
 
     Null and null-token texts give no row; repeated rows and ties give a row each; an empty table gives an
-    empty table; very long texts match no form and are ``bad``; only the three named columns are read, so
+    empty table; texts are read whole, however long; only the three named columns are read, so
     other columns of any name do no harm.
     """
     spark = df.sparkSession
@@ -176,7 +176,9 @@ def normalise_timestamps(df: DataFrame, text: str, site_zone: str, key: str) ->
     d = df.select(F.col(f"`{key}`").alias("_key"), F.translate(strip(raw), "−–", "--").alias("_t"), F.lower(strip(F.col(f"`{site_zone}`"))).alias("_site")).where(has_value(F.col("_t")) & raw.isNotNull())
     t = F.col("_t")
     number = F.when(t.rlike(r"^-?\d{1,19}(?:\.\d+)?$"), t)
-    d = d.select("_key", "_site", F.when(number.isNull() & (F.length(t) <= 200), _fields(t)).alias("_f"), number.alias("_n"))
+    # digits beyond the ninth of a second and repeated blanks say nothing; without them no form is as long as 200 characters
+    short = F.regexp_replace(F.regexp_replace(t, r"(\.\d{9})\d+", "$1"), r"\s{2,}", " ")
+    d = d.select("_key", "_site", F.when(number.isNull() & (F.length(short) <= 200), _fields(short)).alias("_f"), number.alias("_n"))
     f = lambda i: F.col("_f")[i]
     names = F.lit("janfebmaraprmayjunjulaugsepoctnovdec")
     word = F.lower(F.substring(f(1), 1, 3))

@@ -351,3 +351,10 @@ def test_a_settled_chunk_of_one_value_drifts_like_scanned_rows(spark, tmp_path):
     assert sum(not profile.settled(c) for c in chunks) == 7
     got = [tuple(r) for r in profile.find_cases(spark, str(tmp_path), "id", "load_no").collect()]
     assert got == [("drift", "supplier", 8)]
+
+
+def test_very_long_timestamps_are_read_whole(spark):
+    v = ["2024-01-01T00:00:00." + "1" * 5000 + "Z", " " * 5000 + "2024-01-01T00:00:00Z" + " " * 5000, "2024-01-01" + " " * 500 + "10:00:00Z", "x" * 100_000, "2024 " * 5000]
+    df = spark.createDataFrame([(i, x, None) for i, x in enumerate(v)], "k long, t string, z string")
+    got = {r["k"]: (r["outcome"], r["utc_text"]) for r in timestamps.normalise_timestamps(df, "t", "z", "k").collect()}
+    assert got == {0: ("utc", "2024-01-01T00:00:00.111111Z"), 1: ("utc", "2024-01-01T00:00:00.000000Z"), 2: ("utc", "2024-01-01T10:00:00.000000Z"), 3: ("bad", ""), 4: ("bad", "")}
